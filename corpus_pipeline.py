@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.llm import decontaminate, line_dedup, quality
+from textsieve.llm import decontaminate, line_dedup, near_dedup, quality, sentencepieces
 from textsieve.llm.common import cut, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     """docs' columns, with n_chars of the text as it is now."""
@@ -22,6 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col("predicted") == 1).select(*docs.columns)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one with the smallest id."""
+    return near_dedup.keep_first(docs).select(*docs.columns)
+
+
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; documents of which nothing is left go with them."""
     return _as_documents(line_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")), docs)
@@ -32,10 +35,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    return sentencepieces.encode(docs)
+
+
 STAGES = [
     ("quality", quality_stage),
+    ("near_dedup", near_stage),
     ("substring_dedup", substring_stage),
     ("decontaminate", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
 ]
 ORACLE_SQL = None
 
