@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -45,7 +46,7 @@ def plain_text(page: str | None) -> str:
     return LINES.sub("\n", SPACES.sub(" ", entities.unescape(text))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain(pages: pd.Series) -> pd.Series:
     return pages.map(plain_text)
 
