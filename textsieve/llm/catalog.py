@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, quality, sentencepieces, sharding, spotsigs, url_filter, warc
+from . import decontaminate, line_dedup, near_dedup, quality, sentencepieces, sharding, spotsigs, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_quality": quality.op4_quality,
         "op5_sharding": sharding.op5_sharding,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
