@@ -129,7 +129,7 @@ def directories(paths: DataFrame, path: str = "path", busy: int = 10, gap: int =
     for k in range(1, min(levels, depth) + 1):
         here = nodes.where(F.col("level") == k)
         here = here.withColumn("above", F.lit(0)) if state is None else here.join(state.select(F.col("prefix").alias("parent"), F.col("at").alias("above")), "parent", "left").withColumn("above", F.coalesce("above", F.lit(0)))
-        here = here.withColumn("anchor", F.col("ok") & (F.length("prefix") - F.col("above") > gap)).withColumn("at", F.when("anchor", F.length("prefix")).otherwise(F.col("above")))
+        here = here.withColumn("anchor", F.col("ok") & (F.length("prefix") - F.col("above") > gap)).withColumn("at", F.when(F.col("anchor"), F.length("prefix")).otherwise(F.col("above")))
         state = here
         anchors = here.where("anchor").select("prefix") if anchors is None else anchors.union(here.where("anchor").select("prefix"))
     if anchors is None:
