@@ -64,7 +64,7 @@ def test_sessions():
 
 def test_balanced_json():
     assert N.all_json('x {"a": "}"} y {"b": {"c": 1}} {') == ['{"a": "}"}', '{"b": {"c": 1}}']
-    assert N.balanced_json("none") is None and N.balanced_json('{"a": "\\"}"}') == (0, 11)
+    assert N.balanced_json("none") is None and N.balanced_json('{"a": "\\"}"}') == (0, 12)
 
 
 def test_dedup_round_trip(spark):

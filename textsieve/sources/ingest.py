@@ -138,7 +138,9 @@ def _plausible(text: str) -> float:
     good = sum(c.isalnum() or c in " \t\r\n.,;:!?-_()[]{}'\"/\\=<>|+*&%#@" or "　" <= c <= "〿" or "＀" <= c <= "￯" for c in text)
     odd = sum("\x80" <= c <= "\x9f" or "" <= c <= "" or c == "�" or "｡" <= c <= "ﾟ" for c in text)
     common = sum("一" <= c <= "龥" for c in text)
-    return (good + 0.2 * common - 2 * odd) / len(text)
+    # a letter of another script inside a Latin word is a sign of the wrong code page
+    foreign = sum(a.isascii() and a.isalpha() and b.isalpha() and b > "\u024f" or b.isascii() and b.isalpha() and a.isalpha() and a > "\u024f" for a, b in zip(text, text[1:], strict=False))
+    return (good + 0.2 * common - 2 * odd - 2 * foreign) / len(text)
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))

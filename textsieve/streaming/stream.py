@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..operators.reduce import MIN_BYTES, macro_category
 
 
-def text_stream(spark: SparkSession, path: str, max_bytes: str = "64k") -> DataFrame:
+def text_stream(spark: SparkSession, path: str, max_bytes: int = 65536) -> DataFrame:
     """STR-01/03: a folder of growing text files, a bounded number of bytes a trigger."""
     return spark.readStream.format("text").option("maxBytesPerTrigger", max_bytes).load(path).select(F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("line"))
 
