@@ -109,11 +109,25 @@ def test_components(spark):
 # ---- lines ---------------------------------------------------------------------------------------
 
 def test_line_dedup_spans(spark):
-    rows = [(1, "One two three four five.\nShort.\nÜnique line number two here"), (2, "x\none  TWO three four five\nShort.\nend of it all now ok"), (3, "one two three four five"), (4, None), (5, "")]
+    long = "One two three four five six seven eight."
+    rows = [(1, f"{long}\nShort. Yes!\nÜnique line number two here it is well"), (2, f"x\n{long.upper()}  Short. Yes!  And this sentence is new in every one of its words"), (3, long), (4, None), (5, ""), (6, "Ha ho. " * 50), (7, "Short. Yes!")]
     got = {r.doc_id: r for r in line_dedup.dedup(wide(spark, rows)).collect()}
     assert got[1].n_removed == 0 and got[1].text == rows[0][1]
-    assert got[2].removed == "2-26" and rows[1][1][2:26] == "one  TWO three four five" and got[2].text == "x\nShort.\nend of it all now ok"
+    assert got[2].removed == "2-57" and rows[1][1][2:57] == long.upper() + "  Short. Yes!  " and got[2].text == "x\nAnd this sentence is new in every one of its words"
     assert got[3].text == "" and got[3].n_removed == 1 and got[4].text is None and got[5].n_units == 0
+    assert got[6].text == "Ha ho. " * 4 and got[7].text == "Short. Yes!"
+
+
+def test_line_dedup_finds_passages_inside_lines(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = f"{words(9)}. {words(3)}. {words(12)}, {words(4)}! {words(2)}. {words(30)}."
+    rows = [(i, f"{words(20)}. {passage} {words(15)}.") for i in range(6)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert passage in got[0] and all(passage not in got[i] and len(got[i].split()) == 35 for i in range(1, 6))
+
+
+def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup(spark.createDataFrame([], DOC)).count() == 0
     assert line_dedup.dedup(wide(spark, odd_rows())).count() == len(odd_rows())
 

@@ -1,68 +1,132 @@
-"""Substring dedup by hashes of lines.
+"""Substring dedup by hashes of lines and sentences.
 
-Units are a text's lines. A unit is normalised (lower case, everything but letters and digits to one
-blank, trimmed), and takes part if it has at least ``min_words`` words then: shorter ones (``The.``)
-are headings or fillers that say nothing about copying. Digests of all units are grouped globally; the
-occurrence with the smallest (doc_id, line number) stays and every other one goes, with the line break
-that ends it. Offsets are code points of the original text.
+A text is cut into units: its lines, and inside them the pieces that end with ``.``, ``!`` or ``?``, so
+that a passage is found wherever in a line it was put. A unit is normalised (lower case, everything but
+letters and digits to one blank). Its digest is that of the shortest run of units that ends with it and
+has ``min_words`` words or more: a long unit is hashed alone, a short one together with what stands
+before it, so that ``Yes.`` alone never counts as a copy. Units without a word have no digest.
 
-Only (digest, id, line number) is shuffled to find the first occurrences, with a partial aggregation
-before the shuffle, so that a line that a third of the documents share is one row from each task. The
-lines to remove are then gathered by document and joined to the texts.
+Digests are grouped globally; the occurrence in the smallest doc_id, at its first place there, stays and
+every other one goes. Offsets are code points of the original text.
 
-Defined results: null and empty texts come back as they are, with no units; rows that share a doc_id
-are told apart by nothing, so that a line of theirs at the same number counts as one occurrence; an
-empty table gives no rows; extra columns stay.
+Each task sends a digest once for a document, and counts and smallest ids are summed before they are
+shuffled, so that a line that a third of the documents share is one row from each task. Only digests that
+occur in several documents are then joined to the documents' digests (both sides shuffled, so that Spark
+can split a hot one), and gathered by document: at most as many as the document has units.
+
+Defined results: null and empty texts come back as they are, with no units; rows that share a doc_id are
+one document, and lose only what they repeat themselves or what smaller ids have; rows with a null id
+come last and lose what rows with an id have; an empty table gives no rows; extra columns stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .common import table, text_or_empty
-
-MIN_WORDS = 5
-
-
-def normalised(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "))
-
-
-def words_in(norm: Column) -> Column:
-    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+import re
+import sys
+from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id") -> DataFrame:
-    """(key, lines): the numbers of the lines of each document that occurred earlier."""
-    units = (
-        docs.select(F.col(key).alias("_id"), F.posexplode(F.split(text_or_empty(), "\n")).alias("_no", "_line"))
-        .withColumn("_norm", normalised(F.col("_line")))
-        .where(words_in(F.col("_norm")) >= min_words)
-        .select("_id", "_no", F.xxhash64("_norm").alias("_a"), F.xxhash64(F.lit(11), "_norm").alias("_b"))
-    )
-    first = units.groupBy("_a", "_b").agg(F.min(F.struct("_id", "_no")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    again = units.join(first, ["_a", "_b"]).where(F.struct("_id", "_no") != F.col("_first"))
-    return again.groupBy("_id").agg(F.sort_array(F.collect_set("_no")).alias("_lines"))
+from .common import cut, table, text_or_empty
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+MIN_WORDS = 8
+UNIT = r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+"
+UNITS, OTHER = re.compile(UNIT).findall, re.compile(r"[\W_]+")
+
+
+def digests(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[int | None]]:
+    """A text's units, and the first 64 bits of each one's digest."""
+    units = UNITS(text)
+    out: list[int | None] = []
+    run: list[tuple[str, int]] = []
+    for u in units:
+        norm = OTHER.sub(" ", u.lower()).strip()
+        if not norm:
+            out.append(None)
+            continue
+        n = norm.count(" ") + 1
+        if n >= min_words:
+            run = [(norm, n)]
+        else:
+            run.append((norm, n))
+            while len(run) > 1 and sum(k for _, k in run[1:]) >= min_words:
+                run.pop(0)
+        if sum(k for _, k in run) < min_words:
+            out.append(None)
+        else:
+            out.append(int.from_bytes(blake2b(" ".join(x for x, _ in run).encode(), digest_size=8).digest(), "little", signed=True))
+    return units, out
+
+
+def _digest_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.fromiter({d for d in digests(t, min_words)[1] if d is not None}, np.int64) for t in batch.column(1).to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["id", "a"])
+
+    return run
+
+
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs (id, text) -> (id, again): the digests that a smaller id has."""
+    kind = dict(docs.dtypes)["id"]
+    rows = docs.mapInArrow(_digest_rows(min_words), f"id {kind}, a bigint")
+    first = rows.groupBy("a").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "first")
+    again = rows.join(cut(first, "first"), "a").where(~F.col("id").eqNullSafe(F.col("first")))
+    return again.groupBy("id").agg(F.collect_set("a").alias("again"))
+
+
+def _cleaned(min_words: int):
+    """The last two columns are the text and the digests to remove."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
+            kept, spans, units_n, removed_n = [], [], [], []
+            for i, t in enumerate(texts):
+                units, own = digests(t or "", min_words)
+                again = set(gone[i].values.to_numpy().tolist()) if gone[i].is_valid else set()
+                seen: set[int] = set()
+                keep, cuts, at, k = [], [], 0, 0
+                for u, d in zip(units, own, strict=True):
+                    if d is not None and (d in again or d in seen):
+                        if cuts and cuts[-1][1] == at:
+                            cuts[-1][1] = at + len(u)
+                        else:
+                            cuts.append([at, at + len(u)])
+                        k += 1
+                    else:
+                        keep.append(u)
+                    if d is not None:
+                        seen.add(d)
+                    at += len(u)
+                kept.append("".join(keep) if k else t)
+                spans.append(";".join(f"{a}-{b}" for a, b in cuts))
+                units_n.append(len(units))
+                removed_n.append(k)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(kept, pa.string()), pa.array(units_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(spans, pa.string())],
+                names=[*batch.schema.names[:-2], "text", "n_units", "n_removed", "removed"])
+
+    return run
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id") -> DataFrame:
     """docs with text cleaned, and n_units, n_removed and removed: the spans taken out as ``start-end;...``."""
-    lines = F.split(text_or_empty(), "\n")
-    joined = docs.join(repeated_lines(docs, min_words, key).withColumnRenamed("_id", "_rid"), F.col(key).eqNullSafe(F.col("_rid")), "left").drop("_rid")
-    none = F.col("_lines").isNull()
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    joined = joined.withColumn("_all", lines)
-    walk = F.expr(
-        "aggregate(_all, named_struct('at', 0, 'i', 0, 'spans', ''), (acc, x) -> named_struct('at', acc.at + length(x) + 1, 'i', acc.i + 1,"
-        " 'spans', if(array_contains(_lines, acc.i), concat(acc.spans, ';', acc.at, '-', acc.at + length(x)), acc.spans)), acc -> substr(acc.spans, 2))"
-    )
-    return joined.withColumns({
-        "n_units": F.when(text_or_empty() == "", 0).otherwise(F.size("_all")).cast("bigint"),
-        "n_removed": F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint"),
-        "removed": F.when(none, "").otherwise(walk),
-        "text": F.when(none, F.col("text")).otherwise(kept),
-    }).drop("_lines", "_all")
+    again = repeated(docs.select(F.col(key).alias("id"), text_or_empty().alias("text")), min_words).select(F.col("id").alias("_rid"), F.col("again").alias("_again"))
+    others = [c for c in docs.columns if c not in ("text", "n_units", "n_removed", "removed")]
+    ready = docs.join(again, F.col(key).eqNullSafe(F.col("_rid")), "left").select(*others, F.col("text").alias("_text"), "_again")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in ready.dtypes[:-2])
+    made = ready.mapInArrow(_cleaned(min_words), f"{kinds}, text string, n_units bigint, n_removed bigint, removed string")
+    return made.select(*docs.columns, *[c for c in ("n_units", "n_removed", "removed") if c not in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +134,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(docs).select("doc_id", "n_units", "n_removed", "removed", "text")
 
 
+_runs = "\n".join(
+    f"when {' + '.join(['nw', *[f'coalesce(lag(nw, {i}) over w, 0)' for i in range(1, k + 1)]])} >= {MIN_WORDS} then {' || chr(32) || '.join([*[f'lag(norm, {i}) over w' for i in range(k, 0, -1)], 'norm'])}"
+    for k in range(MIN_WORDS))
 OP2_SQL = rf"""
-with l as (
-  select doc_id, unnest(string_split(coalesce(text,''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text,''), chr(10)), 1) - 1 as no
-  from documents),
-n as (select *, trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as norm from l),
-w as (select *, case when norm = '' then 0 else length(norm) - length(replace(norm, ' ', '')) + 1 end as nw from n),
-p as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0) as start,
-             nw >= {MIN_WORDS} and row_number() over (partition by norm order by doc_id, no) > 1 as gone from w)
-select doc_id,
-  cast(case when count(*) = 1 and max(line) = '' then 0 else count(*) end as bigint) as n_units,
-  cast(count(*) filter (gone) as bigint) as n_removed,
-  coalesce(string_agg(cast(start as varchar) || '-' || cast(start + length(line) as varchar), ';' order by no) filter (gone), '') as removed,
-  coalesce(string_agg(line, chr(10) order by no) filter (not gone), '') as text
-from p group by doc_id
+with u0 as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+') as a from documents),
+u as (select doc_id, unnest(a) as unit, generate_subscripts(a, 1) as no from u0),
+n as (select *, trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as norm,
+      coalesce(sum(length(unit)) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0) as start from u),
+c as (select *, length(norm) - length(replace(norm, ' ', '')) + 1 as nw from n where norm <> ''),
+r as (select *, case {_runs} end as run from c window w as (partition by doc_id order by no)),
+g as (select doc_id, no, row_number() over (partition by run order by doc_id, no) > 1 as gone from r where run is not null),
+p as (select n.*, coalesce(g.gone, false) as gone from n left join g using (doc_id, no)),
+s as (select *, no - row_number() over (partition by doc_id, gone order by no) as island from p),
+spans as (select doc_id, string_agg(sp, ';' order by a) as removed from (
+   select doc_id, island, min(start) as a, cast(min(start) as varchar) || '-' || cast(max(start + length(unit)) as varchar) as sp from s where gone group by doc_id, island) group by doc_id)
+select d.doc_id, cast(coalesce(k.n_units, 0) as bigint) as n_units, cast(coalesce(k.n_removed, 0) as bigint) as n_removed, coalesce(spans.removed, '') as removed,
+  case when coalesce(k.n_removed, 0) = 0 then d.text else coalesce(k.text, '') end as text
+from documents d
+left join (select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed, string_agg(unit, '' order by no) filter (not gone) as text from p group by doc_id) k on k.doc_id = d.doc_id
+left join spans on spans.doc_id = d.doc_id
 """
