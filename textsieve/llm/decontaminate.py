@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import cut, table, text_or_empty
 
 WINDOW, COVER, CONSISTENT, BROADCAST_ROWS = 8, 0.6, 0.8, 500_000
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "l", "ml", "s", "ms", "h", "hr", "hrs", "hour", "hours", "min", "minutes", "seconds", "day", "days", "week", "weeks", "year", "years",
@@ -72,11 +72,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", win
     n = grams.count()
     small = (lambda f: F.broadcast(f)) if n <= BROADCAST_ROWS else (lambda f: f)
     mine = with_template(docs.select(F.col(key).alias("_id"), text_or_empty().alias("_t")), F.col("_t"))
-    found = (
+    found = cut(  # the matches, which two sums below read
         mine.select("_id", F.explode(windows(lengths)).alias("g"), "_v")
         .select("_id", F.col("g.w").alias("_w"), F.expr("slice(_v, g.at, g.len)").alias("_dv"))
-        .join(small(grams), "_w")
-    )
+        .join(small(grams), "_w"), "matches")
     per = found.groupBy("_id", "item_id").agg(F.countDistinct("_w").alias("n_matched"))
     pairs = (
         found.select("_id", "item_id", F.explode(F.arrays_zip("_iv", "_dv")).alias("p"))
