@@ -160,7 +160,11 @@ def test_suffix_dedup(spark):
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.op3_suffix_dedup(spark, SF).collect()} == want
 
 
-def test_suffix_dedup_periods_and_hot_passages(spark):
+@pytest.mark.parametrize("limits", [{}, {"HOT": 4, "CHUNK": 2000, "SAMPLE": 1, "COMMON": 3}])
+def test_suffix_dedup_periods_and_hot_passages(spark, monkeypatch, limits):
+    """With the usual limits, and with so low ones that anchors count as common, keys are split and cut, and runs are merged."""
+    for k, v in limits.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
     rng = random.Random(2)
     noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage = noise(260)
