@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
 from ..operators import filters, rules, web
 from ..operators.formats import engine, special, vcs
 from ..operators.formats.catalog import BY_NAME, FORMATS
@@ -531,3 +532,166 @@ def _detect(spark, sf):
 def _flip(spark, sf):
     """A line that opens and closes turns the state."""
     return filters.section(text(spark, "=x=\na\n=x=\nb\nc"), "^=x=|^b", "^=x=").select("line_no")
+
+
+# ---- scalars, sinks and routing ------------------------------------------------------------------
+
+@query("parse_times", values("k,ms", (0, 1767225600000), (1, 1767225600500), (2, 1767225601000), (3, None)))
+def _times(spark, sf):
+    df = spark.createDataFrame([(0, "x 2026-01-01T00:00:00Z y"), (1, "2026-01-01 00:00:00.5"), (2, "at 1767225601000 ms"), (3, "none")], "k int, t string")
+    return df.select("k", F.unix_millis(N.parse_timestamp(F.col("t"))).alias("ms"))
+
+
+@query("durations", values("k,ms", (0, 200), (1, 12), (2, 1500), (3, None)))
+def _ms(spark, sf):
+    return spark.createDataFrame([(0, "0.2"), (1, "12ms"), (2, "1.5s"), (3, "-")], "k int, t string").select("k", N.duration_ms(F.col("t")).alias("ms"))
+
+
+@query("human_counts", values("k,s", (0, "999"), (1, "1.2K"), (2, "3.4M")))
+def _human(spark, sf):
+    return spark.createDataFrame([(0, 999), (1, 1200), (2, 3_400_000)], "k int, n bigint").select("k", N.human_count(F.col("n")).alias("s"))
+
+
+@query("apply_patch", values("s", ("a X c Y",)))
+def _patch_words(spark, sf):
+    return spark.createDataFrame([("a b c d", "1:b->X,3:d->Y,0:z->Q")], "b string, p string").select(N.apply_patch(F.col("b"), F.col("p")).alias("s"))
+
+
+@query("restore_fuzzy", values("text", ("error at line 9",)))
+def _fuzzy(spark, sf):
+    from ..operators import inverse
+
+    return inverse.restore_fuzzy(spark.createDataFrame([("error at line 4", "3:4->9")], "base string, patch string"), "base", "patch").select("text")
+
+
+@query("mask_volatile", values("k,s", (0, "pull [CID] from [IP]"), (1, "~/x [%] done"), (2, "GET /a")))
+def _volatile(spark, sf):
+    return spark.createDataFrame([(0, "pull 0123456789abcdef from 10.0.0.1"), (1, "/home/jo/x 45% done"), (2, "GET /a?b=c")], "k int, t string").select("k", N.mask_volatile(F.col("t")).alias("s"))
+
+
+@query("compact_times", values("k,s", (0, "2026-01-01 00:00:05"), (1, "01/Jan/2026:00:00:00"), (2, "a/b/12345678")))
+def _compact_times(spark, sf):
+    df = spark.createDataFrame([(0, "2026-01-01T00:00:05.123Z"), (1, "01/Jan/2026:00:00:00 +0000"), (2, "a/b/1234567890")], "k int, t string")
+    return df.select("k", F.when(F.col("k") == 2, N.compact_stream(F.col("t"))).otherwise(N.compact_time(F.col("t"))).alias("s"))
+
+
+@query("truncate_values", values("s", ("insert into t values (1,2,3,4...",)))
+def _truncate(spark, sf):
+    return spark.createDataFrame([("insert into t values (1,2,3,4,5,6,7,8,9)",)], "t string").select(N.truncate_values(F.col("t"), 8).alias("s"))
+
+
+@query("pipeline_token", values("s", ("$PL stage",)))
+def _token(spark, sf):
+    return spark.createDataFrame([("[Pipeline] stage",)], "t string").select(N.pipeline_token(F.col("t")).alias("s"))
+
+
+@query("web_routes", values("k,health,static,sensitive,kind", (0, True, False, False, "health"), (1, False, True, False, "static"), (2, False, False, True, "bot"), (3, False, False, False, "routine")))
+def _kinds(spark, sf):
+    df = spark.createDataFrame([(0, "/healthz", "-"), (1, "/a/b.CSS", "Mozilla/5.0"), (2, "/wp-admin", "curl/8"), (3, "/x", "Mozilla/5.0")], "k int, r string, u string")
+    return df.select("k", N.is_health(F.col("r"), F.col("u")).alias("health"), N.is_static(F.col("r")).alias("static"), N.is_sensitive(F.col("r")).alias("sensitive"), N.routine_kind(F.col("r"), F.col("u")).alias("kind"))
+
+
+@query("scripts_by_encoding", values("k,primary_script,confidence", (0, "Latin", 1.0), (1, "Cyrillic", 0.8)))
+def _by_encoding(spark, sf):
+    from ..operators import classify
+
+    df = spark.createDataFrame([(0, "plain", "gbk"), (1, "abcжжж", "windows-1251")], "k int, t string, e string")
+    return df.withColumn("s", classify.scripts_with_encoding(F.col("t"), F.col("e"))).select("k", "s.primary_script", "s.confidence")
+
+
+@query("command_routes", values("k,plugin", (0, "vcs"), (1, "rust_go"), (2, "generic_text")))
+def _command_routes(spark, sf):
+    from ..operators import classify
+
+    return spark.createDataFrame([(0, "git status"), (1, "cargo test"), (2, "ls")], "k int, c string").select("k", classify.command_route(F.col("c"), [("^git ", "vcs", 10), ("^(cargo|go) ", "rust_go", 5), ("test", "pytest", 1)]).alias("plugin"))
+
+
+@query("npm_variants", values("k,v", (0, "jest"), (1, "vitest"), (2, "npm_test")))
+def _variants(spark, sf):
+    from ..operators import classify
+
+    return spark.createDataFrame([(0, "npm test", "Tests: 1 passed, 1 total"), (1, "npx vitest", ""), (2, "npm test", "ok")], "k int, c string, o string").select("k", classify.npm_test_variant(F.col("c"), F.col("o")).alias("v"))
+
+
+@query("unwrap", values("k,t", (0, "core"), (1, "plain")))
+def _unwrap(spark, sf):
+    from ..operators import classify
+
+    return spark.createDataFrame([(0, "<a><b>core</b></a>"), (1, "plain")], "k int, x string").select("k", classify.unwrap(F.col("x"), [("^<a>(.*)</a>$", 1), ("^<b>(.*)</b>$", 1)]).alias("t"))
+
+
+@query("merge_dictionaries", values("dict_type,token,value,n", ("path", "$P1", "/a/b", 5), ("path", "$P2", "/c/d", 1)))
+def _merge(spark, sf):
+    from ..operators import reduce
+
+    schema = "dict_type string, token string, value string, n bigint"
+    return reduce.merge_dictionaries([spark.createDataFrame([("path", "$P1", "/a/b", 2)], schema), spark.createDataFrame([("path", "$P7", "/a/b", 3), ("path", "$P2", "/c/d", 1)], schema)])
+
+
+@query("common_prefixes", values("prefix,n,children", ("/srv/data/projects/alpha", 2, 2)))
+def _common(spark, sf):
+    from ..operators import reduce
+
+    return reduce.common_prefixes(spark.createDataFrame([("/srv/data/projects/alpha/x",), ("/srv/data/projects/alpha/y",), ("/tmp/z",)], "path string"))
+
+
+@query("longest_prefix", values("path,short", ("/srv/app/a/b", "$D1/b"), ("/srv/x", "$D0/x"), ("/tmp/y", "/tmp/y")))
+def _longest(spark, sf):
+    from ..operators import reduce
+
+    dirs = spark.createDataFrame([("$D0", "/srv"), ("$D1", "/srv/app/a")], "token string, value string")
+    return reduce.longest_prefix(spark.createDataFrame([("/srv/app/a/b",), ("/srv/x",), ("/tmp/y",)], "path string"), dirs)
+
+
+@query("merge_outputs", values("source_id,original_size,compressed_size,base_timestamp,ratio", (0, 20, 5, "t1", 0.25)))
+def _merge_outputs(spark, sf):
+    from ..sources import sinks
+
+    return sinks.merge_outputs(spark.createDataFrame([(0, 10, 4, None, 0), (0, 10, 1, "t1", 1), (0, 0, 0, "t2", 2)], "source_id int, original_size int, compressed_size int, base_timestamp string, chunk int"))
+
+
+@query("llm_payload", values("text", ("[DICT]\n$M0=the same long line\n[DATA]\nthe same long line\n$M0",)))
+def _payload(spark, sf):
+    from ..operators import reduce
+    from ..sources import sinks
+
+    tokens, dictionary = reduce.dedup_lines(text(spark, "the same long line\nthe same long line"))
+    return sinks.llm_payload(tokens, dictionary).select("text")
+
+
+@query("ai_export", values("text", ("[Directories]\n$D0: /srv\n$D10: /opt\n[Semantic Logs]\n$D0/x failed",)))
+def _export(spark, sf):
+    from ..operators import inverse
+
+    dirs = spark.createDataFrame([("$D10", "/opt"), ("$D0", "/srv")], "token string, value string")
+    return inverse.ai_export(spark.createDataFrame([(0, "$D0/x failed")], "source_id int, text string"), dirs).select("text")
+
+
+@query("rehydrate_ai", values("line_no,line", (1, "... Skipped 2 normal build lines ..."), (4, "before"), (5, "request failed with code 7"), (6, "after"), (7, "... Skipped 1 normal build lines ...")))
+def _rehydrate(spark, sf):
+    from ..operators import inverse
+
+    rows = [(1, "text", "start"), (2, "ref", "$M2"), (3, "text", "more"), (4, "text", "before"), (5, "ref", "$M1"), (6, "text", "after"), (7, "text", "end")]
+    tokens = spark.createDataFrame([(0, *r) for r in rows], "source_id int, seq bigint, kind string, value string")
+    names = spark.createDataFrame([("$M1", "request failed with code 7"), ("$M2", "usual noise line")], "token string, value string")
+    return inverse.rehydrate_for_ai(tokens, names).drop("source_id")
+
+
+@query("rule_diagnosis", values("code", ("keep_drop_overlap",), ("duplicate_enter",), ("keep_overlap",), ("no_hit",), ("no_hit",)))
+def _diagnosis(spark, sf):
+    rule = rules.load_rule('[[sections]]\nname="a"\nenter="^x"\nkeep=["k"]\ndrop=["k"]\n[[sections]]\nname="b"\nenter="^x"\nkeep=["k"]')
+    return spark.createDataFrame([(d["code"],) for d in rules.diagnose(rule, text(spark, "y"))], "code string")
+
+
+@query("session_windows")
+def _sessions(spark, sf):
+    from ..streaming import stream
+
+    return stream.sessions(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+@query("longest_first", values("value", ("ccc",), ("bb",), ("a",)))
+def _longest_first(spark, sf):
+    from ..operators import reorder
+
+    return reorder.longest_first(spark.createDataFrame([("a",), ("ccc",), ("bb",)], "value string"))
