@@ -19,8 +19,8 @@ that share LENGTH bytes all but the first in text order are repeats.
 these sorted runs are merged by binary search, strings being dealt out by their hash, and all but the
 earliest of equal ones are repeats as well.
 
-Memory: a shard task works on pieces of about ``CHUNK`` bytes at a time (one key's pieces are never
-separated; HOT bounds them). Very common anchors are found in a sample of the documents and counted by
+Memory: a shard task works on pieces of about ``CHUNK`` bytes at a time; a key with more than twice as
+many is worked off in parts, whose first occurrences are merged like those of subshards. Very common anchors are found in a sample of the documents and counted by
 partial sums, so that none of them is gathered in one task; the sample only decides the route, never the result.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that share an id are
@@ -44,7 +44,7 @@ from .common import cut, table, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTH, KGRAM, HOT, CHUNK = 100, 32, 32, 3 << 20
+LENGTH, KGRAM, HOT, CHUNK = 100, 32, 512, 3 << 20
 GRAMS = LENGTH - KGRAM + 1
 SAMPLE, COMMON, HOT_LIST = 64, 48, 100_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -113,14 +113,32 @@ def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 2 << 20) -> Ite
         at = to
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        _, ends = _texts(whole.column(2))
-        for batch in _parts(whole, np.diff(ends, prepend=0)):
-            data, ends = _texts(batch.column(2))
-            t, a, lo, hi = anchors(data, ends)
-            take = pa.array(t)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo << 8 | hi - lo)], names=["a", "id", "h", "at"])
+def _anchor_rows(common: tuple | None, only_common: bool = False):
+    """Rows (a, id, h, at, n, route) of all anchors, n and route of the common ones; or the counts and smallest ids of the common ones alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count, route = common.value if common else (np.zeros(0, np.int64),) * 3
+        for whole in batches:
+            _, ends = _texts(whole.column(2))
+            for batch in _parts(whole, np.diff(ends, prepend=0)):
+                data, ends = _texts(batch.column(2))
+                t, a, lo, hi = anchors(data, ends)
+                a = a.view(np.int64)
+                place = np.minimum(np.searchsorted(known, a), max(0, len(known) - 1))
+                hit = known[place] == a if len(known) else np.zeros(len(a), bool)
+                if only_common:
+                    ids = batch.column(0).fill_null(-(1 << 62)).to_numpy()[t[hit]]
+                    own, at = np.unique(a[hit], return_inverse=True)
+                    least = np.full(len(own), (1 << 63) - 1)
+                    np.minimum.at(least, at, ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, minlength=len(own))), pa.array(least)], names=["a", "n", "route"])
+                else:
+                    take = pa.array(t)
+                    none = ~hit
+                    n, r = (pa.array(x[place] if len(x) else np.zeros(len(a), np.int64), mask=none) for x in (count, route))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo << 8 | hi - lo), n, r], names=["a", "id", "h", "at", "n", "route"])
+
+    return run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +251,7 @@ def repeats(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[ok & (order != own)], first[first < len(data)]
 
 
-def _chunk(rows: list[tuple]) -> pa.RecordBatch:
+def _chunk(rows: list[tuple], part: int = 0) -> pa.RecordBatch:
     """Rows (key, hot, id, h, lo, piece) of whole keys -> covered spans, and the split keys' first occurrences."""
     rows.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[4]))
     rows = [r for i, r in enumerate(rows) if not i or r[2:5] != rows[i - 1][2:5]]
@@ -259,25 +277,30 @@ def _chunk(rows: list[tuple]) -> pa.RecordBatch:
     high = np.concatenate([lo[row[s]] + again[e] - begins[row[s]], lo[owner] + firsts - begins[owner]]) + LENGTH
     raw = data.tobytes()
     string = [None] * len(s) + [raw[i:i + LENGTH] for i in firsts.tolist()]
-    run = rows[0][0]
+    run = rows[0][0] * 1_000_003 + part & (1 << 63) - 1
     return pa.RecordBatch.from_arrays(
         [pa.array([rows[i][2] for i in who.tolist()], pa.int64()), pa.array([rows[i][3] for i in who.tolist()], pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
          pa.array(string, pa.binary()), pa.array([run] * len(who), pa.int64())], names=["id", "h", "lo", "hi", "string", "run"])
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's pieces, sorted by key."""
-    rows, size, last = [], 0, None
+    """A partition's pieces, sorted by key; a key that is too large is cut, and its parts count as subshards."""
+    rows, size, last, parts = [], 0, None, 0
     for batch in batches:
         for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if r[0] != last and size >= CHUNK:
-                yield _chunk(rows)
-                rows, size = [], 0
-            rows.append(r)
+            if r[0] != last:
+                if size >= CHUNK:
+                    yield _chunk(rows)
+                    rows, size = [], 0
+                last, own, parts = r[0], 0, 0
+            elif own >= 2 * CHUNK:
+                yield _chunk([(*x[:1], x[1] or x[0] == last, *x[2:]) for x in rows], parts)
+                rows, size, own, parts = [], 0, 0, parts + 1
+            rows.append((*r[:1], r[1] or parts > 0, *r[2:]))
             size += len(r[5])
-            last = r[0]
+            own += len(r[5])
     if rows:
-        yield _chunk(rows)
+        yield _chunk(rows, parts)
 
 
 def merge_runs(runs: list[list[tuple[bytes, tuple]]]) -> tuple[list[tuple[bytes, tuple]], list[tuple]]:
@@ -364,23 +387,20 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered(docs: DataFrame) -> DataFrame:
     """docs (id, h, text; text not null) -> (id, h, lo, hi): spans to remove, which may overlap."""
-    made = "a bigint, id bigint, h bigint, at bigint"
+    made = "a bigint, id bigint, h bigint, at bigint, n bigint, route bigint"
     own = docs.where(F.octet_length("text") >= LENGTH)
-    rows = own.mapInArrow(_anchor_rows, made)
-    sample = own.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows, made).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    common = cut(sample.where(f"n >= {COMMON}").orderBy(F.desc("n"), "a").limit(HOT_LIST).select("a"), "common")
-    some = not common.isEmpty()
-    if some:
-        listed = F.broadcast(common)  # HOT_LIST numbers at most
-        sums = cut(rows.join(listed, "a").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("route")), "sums")
-        rest = rows.join(listed, "a", "left_anti")
-        often = rows.join(F.broadcast(sums), "a")
-    else:
-        rest, often = rows, None
-    group = Window.partitionBy("a")
-    seen = rest.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("route", F.min("id").over(group))
-    if often is not None:
-        seen = seen.unionByName(often)
+    context = docs.sparkSession.sparkContext
+    sample = own.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows(None), made).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    # at most HOT_LIST numbers, whatever the input; they only decide which anchors are counted beforehand
+    common = np.sort(np.array([r["a"] for r in sample.where(f"n >= {COMMON}").orderBy(F.desc("n"), "a").limit(HOT_LIST).collect()], dtype=np.int64))
+    listed = None
+    if len(common):
+        sums = own.mapInArrow(_anchor_rows(context.broadcast((common, common, common)), True), "a bigint, n bigint, route bigint").groupBy("a").agg(F.sum("n").alias("n"), F.min("route").alias("route")).orderBy("a").collect()
+        listed = context.broadcast(tuple(np.array([r[k] for r in sums], dtype=np.int64) for k in ("a", "n", "route")))
+    rows = own.mapInArrow(_anchor_rows(listed), made)
+    # a common anchor's rows are spread: its count and route are known
+    group = Window.partitionBy("a", F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096))))
+    seen = rows.withColumns({"n": F.coalesce("n", F.count(F.lit(1)).over(group)), "route": F.coalesce("route", F.min("id").over(group))}).where("n > 1")
     split = F.when(F.col("n") <= HOT, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / HOT)))).cast("bigint")
     hits = seen.select("id", "h", F.struct("at", F.coalesce("route", F.lit(-1)).alias("route"), split.alias("split")).alias("hit")).groupBy("id", "h").agg(F.collect_list("hit").alias("hits"))
     with_hits = own.withColumnRenamed("id", "id_").withColumnRenamed("h", "h_").join(hits, F.col("id_").eqNullSafe(F.col("id")) & (F.col("h_") == F.col("h"))).select("id", "h", "text", "hits")
@@ -397,8 +417,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     h = F.lit(0).cast("bigint") if ids["n"] == ids["d"] else F.xxhash64(text_or_empty(text))
     plain = docs.withColumns({"_id": F.col(key).cast("bigint"), "_h": h, "_t": text_or_empty(text)})
     spans = covered(plain.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("_t").alias("text")))
-    cover = spans.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("_cover"))
-    joined = plain.join(cover, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
+    cover = spans.groupBy(F.col("id").alias("_cid"), F.col("h").alias("_ch")).agg(F.collect_list(F.struct("lo", "hi")).alias("_cover"))
+    joined = plain.join(cover, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch")), "left")
     others = [c for c in docs.columns if c not in ("kept", "spans")]
     ready = joined.select(*others, "_t", F.coalesce("_cover", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("_cover"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in ready.dtypes[:-1])
