@@ -36,26 +36,34 @@ COMMON = ("the", "a", "an", "is", "was", "that", "der", "die", "das", "ein", "is
 )
 
 
-def _in(names: tuple[str, ...]) -> str:
-    return "(" + ",".join(f"'{x}'" for x in names) + ")"
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once for a row. Without it the optimizer may copy a value's expression into a
+    lambda that uses it, which then computes it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def signatures(text: Column) -> Column:
+    """The sorted distinct signatures (array<int>) of a text."""
+    def spots(t: Column, h: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: F.get(t, i).isin(*COMMON))
+        chains = F.transform(at, lambda i: F.struct(F.get(t, i).alias("a"), F.filter(F.slice(h, i + 2, REACH), lambda x: x.isNotNull()).alias("c")))
+        return F.transform(F.filter(chains, lambda s: F.size(s["c"]) >= CHAIN), lambda s: F.hash(s["a"], F.slice(s["c"], 1, CHAIN)))
+
+    def everywhere(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(t) - CHAIN), lambda i: F.hash(F.slice(t, i, CHAIN + 1)))
+
+    def chosen(t: Column, s: Column) -> Column:
+        few = (F.size(s) < F.lit(DENSITY) * F.size(t)) & (F.size(t) > CHAIN)
+        return F.when(few, F.concat(s, everywhere(t))).when(F.size(s) > 0, s).otherwise(F.array(F.hash(t)))
+
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    hashed = lambda t: F.transform(t, lambda w: F.when(~w.isin(*COMMON), F.xxhash64(w)))
+    found = let(tokens, lambda t: F.when(F.size(t) > 0, let(hashed(t), lambda h: let(spots(t, h), lambda s: F.array_sort(F.array_distinct(chosen(t, s)))))))
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.coalesce(found, F.array(F.hash(text))))
 
 
 def with_signatures(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Adds the sorted distinct signatures (array<int>) of text."""
-    return (
-        df.withColumn("_t", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-        .withColumn("_h", F.expr(f"transform(_t, w -> if(w in {_in(COMMON)}, null, xxhash64(w)))"))
-        .withColumn("_s", F.expr(
-            f"transform(filter(transform(filter(sequence(0, size(_t)), i -> get(_t, i) in {_in(COMMON)}),"
-            f" i -> struct(get(_t, i) as a, filter(slice(_h, i + 2, {REACH}), x -> x is not null) as c)), s -> size(s.c) >= {CHAIN}),"
-            f" s -> hash(s.a, slice(s.c, 1, {CHAIN})))"))
-        .withColumn("_s", F.expr(
-            f"array_sort(array_distinct(if(size(_s) < {DENSITY} * size(_t) and size(_t) > {CHAIN},"
-            f" concat(_s, transform(sequence(1, size(_t) - {CHAIN}), i -> hash(slice(_t, i, {CHAIN + 1})))), _s)))"))
-        .withColumn(out, F.when(F.size("_s") > 0, F.col("_s")).when(F.size("_t") > 0, F.array(F.hash("_t")))
-                    .when(text != "", F.array(F.hash(text))).otherwise(F.array().cast("array<int>")))
-        .drop("_t", "_h", "_s")
-    )
+    return df.withColumn(out, signatures(text))
 
 
 def fingerprint(signatures: str) -> Column:
@@ -63,9 +71,11 @@ def fingerprint(signatures: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    """Jaccard similarity; each set is computed once, wherever it comes from."""
+    def of(x: Column, y: Column) -> Column:
+        return let(F.size(F.array_intersect(x, y)), lambda both: F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(both / (F.size(x) + F.size(y) - both)))
+
+    return let(F.col(a), lambda x: let(F.col(b), lambda y: of(x, y)))
 
 
 def length_partition(signatures: str, tau: float = 0.8) -> Column:
