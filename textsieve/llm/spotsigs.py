@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-CHAIN, REACH, RANGE, DENSITY = 2, 12, 2048, 0.15
+CHAIN, REACH, RANGE, DENSITY, HEADS = 2, 12, 2048, 0.15, 100_000
 #: Very common words of the four languages.
 COMMON = ("the", "a", "an", "is", "was", "that", "der", "die", "das", "ein", "ist", "le", "la", "les", "un", "une", "est", "el", "los", "las", "una", "es",
     "of", "to", "and", "in", "for", "on", "with", "by", "as", "at", "it", "this", "be", "are", "from", "or",
@@ -99,8 +99,9 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     least = own.groupBy("_range").agg(F.min(F.struct(F.col(key), "_tie")).alias("m")).select("_range", F.col(f"m.{key}").alias("_first"), F.col("m._tie").alias("_first_tie"))
     line = Window.orderBy("_range")
     before = least.withColumn("_before", F.coalesce(F.lag("_range").over(line), F.max("_range").over(Window.partitionBy())))
+    few = F.broadcast if n <= RANGE * HEADS else (lambda f: f)  # one row a range; beyond the bound both sides are shuffled
     heads = (
-        own.join(before, (own["_range"] == before["_range"]) & own[key].eqNullSafe(before["_first"]) & (own["_tie"] == before["_first_tie"]))
+        own.join(few(before), (own["_range"] == before["_range"]) & own[key].eqNullSafe(before["_first"]) & (own["_tie"] == before["_first_tie"]))
         .select("_before", "_text").groupBy("_before").agg(F.max("_text").alias("_head"))
     )
     heads = with_signatures(heads, F.col("_head"), "_head_sig").withColumnRenamed("_before", "_range")
