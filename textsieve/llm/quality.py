@@ -131,8 +131,9 @@ def held_out(key: str = "doc_id") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, key: str = "doc_id") -> DataFrame:
     """Adds score, predicted and held_out. Only labelled rows outside the held-out fold are learnt from."""
     train = labels.select(F.col(key).alias("_k"), "quality").where(F.col("quality").isNotNull())
-    own = docs.select(F.col(key), "text").where(~held_out(key)).join(train, F.col(key) == F.col("_k"))
-    model = fit(with_features(own).select("_x", "quality"))
+    # the statistics, not the texts, are what the join with the labels shuffles
+    own = with_features(docs.select(F.col(key), "text").where(~held_out(key))).select(key, "_x")
+    model = fit(own.join(train, F.col(key) == F.col("_k")).select("_x", "quality"))
     return (
         with_features(docs).withColumn("score", score(model)).drop("_x")
         .withColumn("predicted", (F.col("score") >= accept).cast("int")).withColumn("held_out", held_out(key))
