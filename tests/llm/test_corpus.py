@@ -88,6 +88,19 @@ def test_large_bucket_keeps_links(spark):
     assert {r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOC)).collect()} == {0}
 
 
+def test_large_bucket_keeps_unrelated_pairs(spark):
+    """A family of 162 texts of similarity 0.77, of which 80 pairs have 0.81; most of the buckets that a pair shares hold more texts than a small one."""
+    fresh = iter(range(10**6))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    core, rows = words(870), []
+    for i in range(82):
+        both = words(25)
+        rows += [(len(rows) + j, " ".join(core + both + words(105))) for j in range(1 if i < 2 else 2)]
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 82
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOC)).collect()} == want
+
+
 def test_registers_agree_with_similarity():
     """The share of equal registers estimates the probability Jaccard similarity of weighted sets."""
     rng = np.random.default_rng(5)

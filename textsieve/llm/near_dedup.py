@@ -10,9 +10,10 @@ verified by the exact Jaccard similarity of their shingle sets (0.8 or more).
 Classes are connected components of verified links. Copies (equal word sequences) are collapsed before
 anything else, and no bucket is expanded into all its pairs: each bucket's members are first compared
 with its smallest member. Then only buckets that still hold several components matter: if they have at
-most ``SMALL`` members, members of different components are compared, each with each; in larger ones the
-members are compared with the smallest member of another component than the first, again and again
-until no bucket has an untested such pair.
+most ``SMALL`` members, members of different components are compared, each with each. The members of larger
+ones are joined by their rarest shingles: a set that is similar enough to another shares one of its first
+``n - ceil(SIMILAR n) + 1`` shingles in any common order, at places that leave enough of both sets behind
+them. No pair of the class is lost by that, so that nothing is left to compare afterwards.
 
 Defined results: texts without any word (null and empty ones too) are copies of each other; texts of
 fewer than five words have one shingle, all their words; a row with a null id has a null class and takes
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, table, text_or_empty
@@ -36,7 +37,7 @@ from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS, SIMILAR, BANDS, ROWS, SMALL = 5, 0.8, 25, 5, 64
+WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK = 5, 0.8, 25, 5, 64, 256
 REGISTERS = BANDS * ROWS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -147,7 +148,24 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 12) -> DataFrame:
+def _rare_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of large's (id, label) of different labels that can be similar enough, by prefix, length and position; more than those, but not all pairs.
+
+    Members of a label are joined in blocks, so that those of the same label are not paired with each other."""
+    rows = large.join(sets, "id").select("id", "label", F.size("s").alias("n"), F.explode("s").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    prefix = rows.join(often, "s").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))).where(F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1).where("df > 1")
+    blocks = prefix.groupBy("s", "label", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).alias("block")).agg(F.collect_list(F.struct("id", "n", "at")).alias("m"))
+    several = blocks.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
+    blocks = cut(blocks.join(several, "s"), "blocks")
+    other = blocks.select("s", F.col("label").alias("label2"), F.col("m").alias("m2"))
+    both = blocks.join(other, "s").where("label < label2").select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y"))
+    close = both.where((F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n") - 1e-9) & (
+        (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))) * (1 + SIMILAR) >= SIMILAR * (F.col("x.n") + F.col("y.n")) - 1e-6))
+    return close.select(F.col("x.id").alias("id"), F.col("y.id").alias("id2")).select(*_ordered("id", "id2"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, class_id, copy_of): class_id is the smallest id of the document's class, copy_of that of the documents with the same words."""
     words = docs.select(F.col(key).alias("id"), text_or_empty().alias("text")).where(F.col("id").isNotNull()).withColumn("k", word_hashes(F.col("text")))
     signed = cut(
@@ -164,18 +182,15 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 12) -> DataFrame
     sets = cut(texts.dropDuplicates(["id"]).select("id", word_hashes(F.col("text")).alias("k")).mapInArrow(_sets, f"id {dict(docs.dtypes)[key]}, s array<int>"), "sets")
     tested = cut(_verified(star, sets), "tested")
     labels = components(tested.where("ok"))
-    for _ in range(rounds):
-        placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "label")).alias("h")).where("lo <> hi").select("bucket", F.col("h.label").alias("first"))
-        open_ = cut(placed.join(mixed, "bucket"), "open")
-        x, y = open_.where(f"n <= {SMALL}").select("bucket", "id", "label"), open_.where(f"n <= {SMALL}").select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
-        small = x.join(y, "bucket").where("id < id2 and label <> label2").select(*_ordered("id", "id2"))
-        large = open_.where(f"n > {SMALL}")
-        second = large.where("label <> first").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("s"))
-        large = large.join(second, "bucket").where("label <> s.label").select("id", F.col("s.id").alias("id2")).select(*_ordered("id", "id2"))
-        pairs = cut(small.union(large).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
+    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = cut(placed.join(mixed, "bucket"), "open")
+    x, y = open_.where(f"n <= {SMALL}").select("bucket", "id", "label"), open_.where(f"n <= {SMALL}").select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
+    small = x.join(y, "bucket").where("id < id2 and label <> label2").select(*_ordered("id", "id2"))
+    large = open_.where(f"n > {SMALL}").select("id", "label").distinct()
+    wide = small if large.isEmpty() else small.union(_rare_pairs(large, sets))
+    pairs = cut(wide.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
         tested = cut(tested.unionByName(_verified(pairs, sets)), "tested")
         labels = components(tested.where("ok"))
     named = first.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "rep", F.coalesce("label", "rep").alias("class_id"))
