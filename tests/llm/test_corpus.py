@@ -101,6 +101,21 @@ def test_large_bucket_keeps_unrelated_pairs(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOC)).collect()} == want
 
 
+def test_repeated_paragraphs_keep_near_copies(spark):
+    """Pairs of set similarity above 0.8, of which one text has half of the shingles 50 times."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 200, 2):
+        often, once = ([f"{k}{i}n{j}" for j in range(100)] for k in "pq")
+        other = list(once)
+        for j in (15, 45, 75):
+            other[j] = f"z{rng.random()}"
+        rows += [(i, " ".join(often + once)), (i + 1, " ".join(often * 50 + other))]
+    want = brute_classes(rows)
+    assert all(want[i + 1] == i for i in range(0, 200, 2))
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOC)).collect()} == want
+
+
 def test_registers_agree_with_similarity():
     """The share of equal registers estimates the probability Jaccard similarity of weighted sets."""
     rng = np.random.default_rng(5)
