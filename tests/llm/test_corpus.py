@@ -407,6 +407,17 @@ def test_reparameterised_question(spark):
     assert decontaminate.contaminated(wide(spark, odd_rows()), bench).count() == 0
 
 
+def test_occurrences_are_judged_one_by_one(spark):
+    """A copy beside other variants of it, and an item whose own windows repeat."""
+    form = "{0} has {1} apples and gives {2} apples to {3}. How many of the {1} apples that weigh {4} kg does {0} keep for herself?"
+    item, other, third = form.format("Alice", 12, 5, "Bob", 3), form.format("Maria", 40, 9, "Jorge", 8), form.format("Clara", 77, 2, "Hans", 1)
+    numbers = " ".join(str(i * i) for i in range(3, 18))
+    rows = [(1, f"{item} {other}"), (2, f"{third} {item} {other}"), (3, f"Sheet: {numbers} end."), (4, f"{other} {third}"), (5, numbers[::-1])]
+    bench = spark.createDataFrame([(7, item), (8, numbers)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOC), bench).collect()}
+    assert {(1, 7), (2, 7), (3, 8), (4, 7)} <= got and (3, 7) not in got and not {(1, 8), (2, 8), (4, 8)} & got
+
+
 # ---- urls ----------------------------------------------------------------------------------------
 
 def test_cascade_is_exact():

@@ -3,11 +3,16 @@
 Texts become sequences of canonical tokens: numbers turn into ``<num>``, a number's unit into
 ``<unit>``, capitalised words inside a sentence into ``<name>``, everything else into lower-case words.
 An item that was re-parameterised (other numbers, names or units) keeps its template. Windows of
-``WINDOW`` canonical tokens of the benchmark are hash-joined with those of the documents; a document
-holds an item if at least ``COVER`` of the item's windows occur in it and the slots agree: over the
-window pairs that hold slots, each value of the item's slots must be answered by one value of the
-document's in at least ``CONSISTENT`` of the cases (the same number twice in the question is the same
-number twice in the copy).
+``WINDOW`` canonical tokens of the benchmark are hash-joined with those of the documents. Two forms are
+joined: the one above, and the lower-case words as they are.
+
+A document holds an item if an occurrence has at least ``COVER`` of the item's windows and agrees in the
+slots: over the window pairs that hold slots, each value of the item's slots must be answered by one value of
+the document's in at least ``CONSISTENT`` of the cases (the same number twice in the question is the same
+number twice in the copy). Occurrences are the matches at one distance between document and item offset, those at
+distances within an item's length of each other (words put in or left out), and all of the document
+together, in all forms or in the first one, so that other variants in the document do not spoil one. If ``COVER`` of the windows occur with the
+item's own words, nothing else is asked.
 
 Items with fewer tokens than WINDOW are one window of their own length; documents are also cut into
 windows of those lengths (fewer than WINDOW different ones). The benchmark's windows are broadcast if
@@ -40,56 +45,71 @@ def raw_tokens(text: Column) -> Column:
 def with_template(df: DataFrame, text: Column) -> DataFrame:
     """Adds _k, hashes of canonical tokens, and _v, the slots' values (null where a token is no slot)."""
     ends = r"^[.!?\n]"
+    units = ",".join(f"'{u}'" for u in UNITS)
     return (
         df.withColumn("_r", raw_tokens(text))
         .withColumn("_r", F.expr(
-            f"filter(transform(_r, (x, i) -> named_struct('w', x, 'num', x rlike '^[0-9]', 'end', x rlike '{ends}',"
-            " 'first', i = 0 or get(_r, i - 1) rlike '" + ends + "', 'after', i > 0 and get(_r, i - 1) rlike '^[0-9]')), t -> not t.end)".replace("\\n", "\\\\n")))
-        .withColumn("_k", F.expr(
-            "transform(_r, t -> case when t.num then 1 when t.after and lower(t.w) in (" + ",".join(f"'{u}'" for u in UNITS) + ") then 2"
-            " when not t.first and t.w rlike '^\\\\p{Lu}[\\\\p{L}\\\\p{M}]*\\\\p{Ll}' then 3 else xxhash64(lower(t.w)) end)"))
-        .withColumn("_v", F.expr("transform(_r, (t, i) -> if(get(_k, i) in (1, 2, 3), xxhash64(lower(t.w)), cast(null as bigint)))"))
+            f"filter(transform(_r, (x, i) -> named_struct('w', lower(x), 'h', xxhash64(lower(x)), 'num', x rlike '^[0-9]', 'end', x rlike '{ends}', 'name', x rlike '^\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{M}}]*\\\\p{{Ll}}',"
+            " 'first', i = 0 or get(_r, i - 1) rlike '" + ends + "', 'after', i > 0 and get(_r, i - 1) rlike '^[0-9]')), t -> not t.end)".replace("\n", "\\n")))
+        .withColumn("_k", F.expr(f"transform(_r, t -> case when t.num then 1 when t.after and t.w in ({units}) then 2 when t.name and not t.first then 3 else t.h end)"))
+        .withColumn("_b", F.expr(f"transform(_r, (t, i) -> case when t.num then 1 when get(_r, i - 1).num and t.w in ({units}) then 2 when t.name then 3 else t.h end)"))
+        .withColumn("_v", F.expr("transform(_b, (b, i) -> if(b in (1, 2, 3), get(_r, i).h, cast(null as bigint)))"))
+        .withColumn("_p", F.col("_r.h"))
         .drop("_r")
     )
 
 
 def windows(lengths: list[int]) -> Column:
-    """Structs (w, at) of the hashes of all windows of these lengths."""
+    """Structs (w, at) of the hashes of all windows of these lengths, in the three forms."""
     parts = [
-        F.expr(f"if(size(_k) >= {n}, transform(sequence(1, size(_k) - {n - 1}), i -> named_struct('w', xxhash64({n}, slice(_k, i, {n})), 'at', i, 'len', {n})), array())") for n in lengths
+        F.expr(f"if(size(_k) >= {n}, transform(sequence(1, size(_k) - {n - 1}), i -> named_struct('w', xxhash64({salt}, slice({of}, i, {n})), 'at', i, 'len', {n})), array())")
+        for n in lengths for of, salt in (("_k", n), ("_p", -n))
     ]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.concat(*parts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, cover: float = COVER) -> DataFrame:
-    """(key, item_id, n_windows, n_matched, n_slots, consistency) of the documents that hold an item."""
+    """(key, item_id, n_windows, n_matched, n_slots, consistency) of the documents that hold an item, the last two of the occurrence that agrees best."""
     items = with_template(benchmark.select("item_id", text_or_empty().alias("_t")), F.col("_t")).drop("_t").where(F.size("_k") > 0)
     items = items.withColumn("_len", F.least(F.size("_k"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("_len").distinct().collect()) or [window]
-    own = F.expr(f"transform(sequence(1, size(_k) - _len + 1), i -> named_struct('w', xxhash64(_len, slice(_k, i, _len)), 'at', i, 'len', _len))")
-    grams = items.select("item_id", F.explode(own).alias("g"), "_v").select("item_id", F.col("g.w").alias("_w"), F.col("g.at").alias("_iat"), F.expr("slice(_v, g.at, g.len)").alias("_iv"))
-    total = grams.groupBy("item_id").agg(F.countDistinct("_w").alias("n_windows"))
+    own = F.expr(
+        "transform(sequence(1, size(_k) - _len + 1), i -> named_struct('id', xxhash64(_len, slice(_k, i, _len)), 'at', i, 'forms', array_distinct(array("
+        "named_struct('w', xxhash64(_len, slice(_k, i, _len)), 'exact', false), named_struct('w', xxhash64(-_len, slice(_p, i, _len)), 'exact', true)))))")
+    places = items.select("item_id", F.size("_k").alias("_size"), (F.size("_k") - F.col("_len") + 1).alias("_places"), "_len", F.explode(own).alias("g"), "_v", F.expr("transform(_v, (v, i) -> if(get(_k, i) in (1, 2, 3), v, cast(null as bigint)))").alias("_o"))
+    grams = places.select("item_id", "_size", "_places", F.col("g.id").alias("_iw"), F.col("g.at").alias("_iat"), F.expr("slice(_v, g.at, _len)").alias("_iv"), F.expr("slice(_o, g.at, _len)").alias("_io"), F.explode("g.forms").alias("f"))
+    grams = grams.select("*", F.col("f.w").alias("_w"), F.col("f.exact").alias("_exact"), (F.col("f.w") == F.col("_iw")).alias("_first")).drop("f")
+    total = grams.groupBy("item_id").agg(F.countDistinct("_iw").alias("n_windows"))
     n = grams.count()
     small = (lambda f: F.broadcast(f)) if n <= BROADCAST_ROWS else (lambda f: f)
     mine = with_template(docs.select(F.col(key).alias("_id"), text_or_empty().alias("_t")), F.col("_t"))
-    found = cut(  # the matches, which two sums below read
+    found = cut(  # the matches, which the sums below read
         mine.select("_id", F.explode(windows(lengths)).alias("g"), "_v")
-        .select("_id", F.col("g.w").alias("_w"), F.expr("slice(_v, g.at, g.len)").alias("_dv"))
+        .select("_id", F.col("g.w").alias("_w"), F.col("g.at").alias("_dat"), F.expr("slice(_v, g.at, g.len)").alias("_dv"))
         .join(small(grams), "_w"), "matches")
-    per = found.groupBy("_id", "item_id").agg(F.countDistinct("_w").alias("n_matched"))
+    once = found.groupBy("_id", "item_id", "_size", "_places", "_iw", "_iat", "_iv", "_io", "_dat", "_dv").agg(F.max("_exact").alias("_exact"), F.max("_first").alias("_first"))
+    far = F.col("_dat") - F.col("_iat")
+    groups = [(0, F.lit(0)), (1, far), (2, F.floor(far / F.col("_size"))), (3, F.floor((far + F.col("_size") / 2) / F.col("_size"))), (4, F.when(F.col("_first"), F.lit(0)))]
+    # of equal rows (repeated documents) each match counts once
+    placed = once.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), g.cast("bigint").alias("no")) for k, g in groups]))).where("_g.no is not null")
+    by = ["_id", "item_id", "_g"]
+    per = placed.groupBy(*by, "_places").agg(F.countDistinct("_iw").alias("n_matched"), F.countDistinct("_iat").alias("n_at"), F.countDistinct(F.when(F.col("_exact"), F.col("_iat"))).alias("n_exact"))
     pairs = (
-        found.select("_id", "item_id", F.explode(F.arrays_zip("_iv", "_dv")).alias("p"))
+        placed.select(*by, F.explode(F.arrays_zip(F.when(F.col("_g.kind") == 4, F.col("_io")).otherwise(F.col("_iv")).alias("_iv"), "_dv")).alias("p"))
         .where("p._iv is not null and p._dv is not null")
-        .groupBy("_id", "item_id", F.col("p._iv").alias("iv"), F.col("p._dv").alias("dv")).agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("_id", "item_id", "iv").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
-        .groupBy("_id", "item_id").agg(F.sum("all").alias("n_slots"), (F.sum("best") / F.sum("all")).alias("consistency"))
+        .groupBy(*by, F.col("p._iv").alias("iv"), F.col("p._dv").alias("dv")).agg(F.count(F.lit(1)).alias("c"))
+        .groupBy(*by, "iv").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
+        .groupBy(*by).agg(F.sum("all").alias("n_slots"), (F.sum("best") / F.sum("all")).alias("consistency"))
     )
-    return (
-        per.join(small(total), "item_id").where(F.col("n_matched") >= cover * F.col("n_windows"))
-        .join(pairs, ["_id", "item_id"], "left")
-        .select(F.col("_id").alias(key), "item_id", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-        .where(F.col("consistency") >= CONSISTENT)
+    exact = F.col("n_exact") >= cover * F.col("_places")
+    enough = F.when(F.col("_g.kind").isin(0, 4), F.col("n_matched") >= cover * F.col("n_windows")).otherwise(F.col("n_at") >= cover * F.col("_places"))
+    judged = (
+        per.join(small(total), "item_id").join(pairs, by, "left").where(enough | exact)
+        .withColumn("consistency", F.when(exact, 1.0).otherwise(F.coalesce("consistency", F.lit(1.0)))).where(F.col("consistency") >= CONSISTENT)
     )
+    best = judged.groupBy("_id", "item_id", "n_windows").agg(
+        F.max("n_matched").alias("n_matched"), F.max(F.struct("consistency", F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"))).alias("b"))
+    return best.select(F.col("_id").alias(key), "item_id", "n_windows", "n_matched", F.col("b.n_slots").alias("n_slots"), F.col("b.consistency").alias("consistency"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
