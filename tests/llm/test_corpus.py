@@ -418,6 +418,16 @@ def test_occurrences_are_judged_one_by_one(spark):
     assert {(1, 7), (2, 7), (3, 8), (4, 7)} <= got and (3, 7) not in got and not {(1, 8), (2, 8), (4, 8)} & got
 
 
+def test_copies_with_other_punctuation_and_case(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(-1, "Paris is the capital of France"), (-2, "Alice met Bob. Then Carol left. Now Dave sings. Will Eve stay? No.")]
+    rows = []
+    for i, t in items:
+        rows += [(10 * i + 1, re.sub(r"[.!?,\n]+", " ", t)), (10 * i + 2, t.lower()), (10 * i + 3, f'He asked: "{t}"'), (10 * i + 4, t.upper()), (10 * i + 5, t.replace(" ", "\n"))]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {(10 * i + k, i) for i, t in items if re.search(r"\w", t or "") for k in range(1, 6)} <= got
+
+
 # ---- urls ----------------------------------------------------------------------------------------
 
 def test_cascade_is_exact():

@@ -3,8 +3,9 @@
 Texts become sequences of canonical tokens: numbers turn into ``<num>``, a number's unit into
 ``<unit>``, capitalised words inside a sentence into ``<name>``, everything else into lower-case words.
 An item that was re-parameterised (other numbers, names or units) keeps its template. Windows of
-``WINDOW`` canonical tokens of the benchmark are hash-joined with those of the documents. Two forms are
-joined: the one above, and the lower-case words as they are.
+``WINDOW`` canonical tokens of the benchmark are hash-joined with those of the documents. Three forms are
+joined: the one above, one in which capitalised words are ``<name>`` wherever they stand (what punctuation and
+line breaks are around them does not matter), and the lower-case words as they are (case does not matter either).
 
 A document holds an item if an occurrence has at least ``COVER`` of the item's windows and agrees in the
 slots: over the window pairs that hold slots, each value of the item's slots must be answered by one value of
@@ -63,7 +64,7 @@ def windows(lengths: list[int]) -> Column:
     """Structs (w, at) of the hashes of all windows of these lengths, in the three forms."""
     parts = [
         F.expr(f"if(size(_k) >= {n}, transform(sequence(1, size(_k) - {n - 1}), i -> named_struct('w', xxhash64({salt}, slice({of}, i, {n})), 'at', i, 'len', {n})), array())")
-        for n in lengths for of, salt in (("_k", n), ("_p", -n))
+        for n in lengths for of, salt in (("_k", n), ("_b", n), ("_p", -n))
     ]
     return F.concat(*parts)
 
@@ -75,7 +76,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", win
     lengths = sorted(r[0] for r in items.select("_len").distinct().collect()) or [window]
     own = F.expr(
         "transform(sequence(1, size(_k) - _len + 1), i -> named_struct('id', xxhash64(_len, slice(_k, i, _len)), 'at', i, 'forms', array_distinct(array("
-        "named_struct('w', xxhash64(_len, slice(_k, i, _len)), 'exact', false), named_struct('w', xxhash64(-_len, slice(_p, i, _len)), 'exact', true)))))")
+        "named_struct('w', xxhash64(_len, slice(_k, i, _len)), 'exact', false), named_struct('w', xxhash64(_len, slice(_b, i, _len)), 'exact', false), named_struct('w', xxhash64(-_len, slice(_p, i, _len)), 'exact', true)))))")
     places = items.select("item_id", F.size("_k").alias("_size"), (F.size("_k") - F.col("_len") + 1).alias("_places"), "_len", F.explode(own).alias("g"), "_v", F.expr("transform(_v, (v, i) -> if(get(_k, i) in (1, 2, 3), v, cast(null as bigint)))").alias("_o"))
     grams = places.select("item_id", "_size", "_places", F.col("g.id").alias("_iw"), F.col("g.at").alias("_iat"), F.expr("slice(_v, g.at, _len)").alias("_iv"), F.expr("slice(_o, g.at, _len)").alias("_io"), F.explode("g.forms").alias("f"))
     grams = grams.select("*", F.col("f.w").alias("_w"), F.col("f.exact").alias("_exact"), (F.col("f.w") == F.col("_iw")).alias("_first")).drop("f")
