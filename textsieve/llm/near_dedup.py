@@ -160,18 +160,19 @@ def _ordered(x: str, y: str) -> list[Column]:
 def _rare_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all pairs of large's (id, label) of different labels that can be similar enough, by prefix, length and position; more than those, but not all pairs.
 
-    Members of a label are joined in blocks, so that those of the same label are not paired with each other."""
+    Members of a label with the shingle at the same place are joined in blocks, so that those of the same label are not paired with each other."""
     rows = large.join(sets, "id").select("id", "label", F.size("s").alias("n"), F.explode("s").alias("s"))
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     prefix = rows.join(often, "s").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))).where(F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1).where("df > 1")
-    blocks = prefix.groupBy("s", "label", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).alias("block")).agg(F.collect_list(F.struct("id", "n", "at")).alias("m"))
+    blocks = prefix.groupBy("s", "label", "n", "at", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).alias("block")).agg(F.collect_list("id").alias("m"))
     several = blocks.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
     blocks = cut(blocks.join(several, "s"), "blocks")
-    other = blocks.select("s", F.col("label").alias("label2"), F.col("m").alias("m2"))
-    both = blocks.join(other, "s").where("label < label2").select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y"))
-    close = both.where((F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n") - 1e-9) & (
-        (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))) * (1 + SIMILAR) >= SIMILAR * (F.col("x.n") + F.col("y.n")) - 1e-6))
-    return close.select(F.col("x.id").alias("id"), F.col("y.id").alias("id2")).select(*_ordered("id", "id2"))
+    other = blocks.select("s", F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("m").alias("m2"))
+    close = (F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2") - 1e-9) & (
+        (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (1 + SIMILAR) >= SIMILAR * (F.col("n") + F.col("n2")) - 1e-6)
+    both = blocks.join(other, "s").where((F.col("label") < F.col("label2")) & close)
+    pairs = both.select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y"))
+    return pairs.select(F.col("x").alias("id"), F.col("y").alias("id2")).select(*_ordered("id", "id2"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
