@@ -357,6 +357,17 @@ def test_spotsigs(spark):
         assert math.isclose(got[i].near_edited, len(a & b) / len(a | b)) and math.isclose(got[i].near_next, len(a & c) / len(a | c))
 
 
+def test_spotsigs_near_the_line(spark):
+    """30 anchors in 200 words, and five more words at the end; and a list without anchors, of which one word changes."""
+    words = [w for i in range(30) for w in ("the", *[f"x{i}y{j}" for j in range(6 if i % 3 else 5)])] + ["tail"] * 10
+    base = " ".join(words[:200])
+    listed = [f"n{i}" for i in range(100)]
+    rows = [(1, base), (2, base + " p q r s u"), (3, " ".join(listed)), (4, " ".join(listed[:50] + ["other"] + listed[51:]))]
+    got = {r.doc_id: set(r.s) for r in spotsigs.with_signatures(spark.createDataFrame(rows, DOC), F.col("text"), "s").collect()}
+    like = lambda a, b: len(got[a] & got[b]) / len(got[a] | got[b])
+    assert like(1, 2) > 0.8 and like(3, 4) > 0.9 and len(got[3]) == 98
+
+
 def test_spotsigs_ranges(spark, monkeypatch):
     """Every row finds its successor, whatever the ranges."""
     monkeypatch.setattr(spotsigs, "RANGE", 3)

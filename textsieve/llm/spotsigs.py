@@ -1,8 +1,9 @@
 """Document fingerprints: SpotSigs.
 
 A spot signature starts at an anchor (a very common word) and chains the next ``CHAIN`` content words
-within ``REACH`` words (texts of which less than ``DENSITY`` of the words start a chain, such as tables
-and lists, have a chain of words at every word besides); a document's fingerprint is its set of signatures (32-bit hashes, sorted, eight
+within ``REACH`` words. Words that no anchor reaches, as in tables and lists (none is among the ``REACH``
+words before them), start a chain of words themselves. The rule is the same for all texts and looks at a word's
+surroundings only, so that a small edit changes few signatures. A document's fingerprint is its set of signatures (32-bit hashes, sorted, eight
 hex digits each). Fingerprints are compared by Jaccard similarity. ``similar_pairs`` partitions the sets by
 length so that similar sets lie in the same or in the next partition, looks them up by their rarest
 signatures (the prefix that any set as similar must meet), prunes by length and verifies.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-CHAIN, REACH, RANGE, DENSITY, HEADS = 2, 12, 2048, 0.15, 100_000
+CHAIN, REACH, RANGE, HEADS = 2, 12, 2048, 100_000
 #: Very common words of the four languages.
 COMMON = ("the", "a", "an", "is", "was", "that", "der", "die", "das", "ein", "ist", "le", "la", "les", "un", "une", "est", "el", "los", "las", "una", "es",
     "of", "to", "and", "in", "for", "on", "with", "by", "as", "at", "it", "this", "be", "are", "from", "or",
@@ -44,21 +45,25 @@ def let(value: Column, body) -> Column:
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signatures (array<int>) of a text."""
-    def spots(t: Column, h: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: F.get(t, i).isin(*COMMON))
+    def spots(t: Column, h: Column, at: Column) -> Column:
         chains = F.transform(at, lambda i: F.struct(F.get(t, i).alias("a"), F.filter(F.slice(h, i + 2, REACH), lambda x: x.isNotNull()).alias("c")))
         return F.transform(F.filter(chains, lambda s: F.size(s["c"]) >= CHAIN), lambda s: F.hash(s["a"], F.slice(s["c"], 1, CHAIN)))
 
-    def everywhere(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(t) - CHAIN), lambda i: F.hash(F.slice(t, i, CHAIN + 1)))
+    def far(t: Column, at: Column) -> Column:
+        """Of the words that no anchor reaches: from the text's start or REACH + 1 words after an anchor to the next one."""
+        ends = F.concat(at, F.array(F.size(t)))
+        runs = F.transform(ends, lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(at, k - 1) + REACH + 1).alias("lo"), (F.least(e, F.size(t) - CHAIN) - 1).alias("hi")))
+        places = F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"])))
+        return F.transform(places, lambda i: F.hash(F.slice(t, i + 1, CHAIN + 1)))
 
-    def chosen(t: Column, s: Column) -> Column:
-        few = (F.size(s) < F.lit(DENSITY) * F.size(t)) & (F.size(t) > CHAIN)
-        return F.when(few, F.concat(s, everywhere(t))).when(F.size(s) > 0, s).otherwise(F.array(F.hash(t)))
+    def chosen(t: Column, h: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(h, i).isNull())
+        both = let(at, lambda p: F.concat(spots(t, h, p), far(t, p)))
+        return let(both, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.hash(t))))
 
     tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     hashed = lambda t: F.transform(t, lambda w: F.when(~w.isin(*COMMON), F.xxhash64(w)))
-    found = let(tokens, lambda t: F.when(F.size(t) > 0, let(hashed(t), lambda h: let(spots(t, h), lambda s: F.array_sort(F.array_distinct(chosen(t, s)))))))
+    found = let(tokens, lambda t: F.when(F.size(t) > 0, let(hashed(t), lambda h: F.array_sort(F.array_distinct(chosen(t, h))))))
     return F.when(text == "", F.array().cast("array<int>")).otherwise(F.coalesce(found, F.array(F.hash(text))))
 
 
