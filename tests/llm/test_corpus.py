@@ -209,6 +209,20 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_anchors_of_long_texts(monkeypatch):
+    """A text of more than 2^24 bytes; views give the anchors that one view gives."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 101, (1 << 24) + 500).astype(np.uint8)
+    t, _, lo, hi = suffix_dedup.anchors(data, np.array([len(data)]))
+    assert not t.any() and lo[0] == 0 and hi[-1] == len(data) - 100 and (lo[1:] == hi[:-1] + 1).all() and (hi - lo < 69).all()
+    data, ends = data[:9000], np.array([0, 50, 3100, 3100, 3199, 8990, 9000])
+    data[4000:4600] = 97
+    whole = suffix_dedup.anchors(data, ends)
+    for view in (70, 331, 1000):
+        monkeypatch.setattr(suffix_dedup, "VIEW", view)
+        assert all((x == y).all() for x, y in zip(whole, suffix_dedup.anchors(data, ends), strict=True))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)

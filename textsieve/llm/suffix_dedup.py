@@ -44,7 +44,7 @@ from .common import cut, table, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTH, KGRAM, HOT, CHUNK = 100, 32, 512, 3 << 20
+LENGTH, KGRAM, HOT, CHUNK, VIEW = 100, 32, 512, 3 << 20, 1 << 22
 GRAMS = LENGTH - KGRAM + 1
 SAMPLE, COMMON, HOT_LIST = 64, 48, 100_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -61,12 +61,30 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Of concatenated texts that end at ends: (text number, anchor hash, first start, last start), starts within the text.
 
     Every start of a LENGTH-byte string lies in just one of the ranges."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    begins = np.concatenate([[0], ends[:-1]])
+    seen: list[tuple[np.ndarray, ...]] = []
+    for v in range(0, max(1, len(data) - LENGTH + 1), VIEW):  # views of VIEW starts, and the LENGTH - 1 bytes that their last strings need
+        view = data[v:v + VIEW + LENGTH - 1]
+        skip = int(np.searchsorted(ends, v, side="right"))
+        until = int(np.searchsorted(begins, v + len(view)))
+        t, a, lo, hi, place = _anchors(view, np.minimum(ends[skip:until], v + len(view)) - v)
+        t = t + skip
+        shift = np.maximum(0, v - begins[t]) if len(t) else t
+        lo, hi, place = lo + shift, hi + shift, place + v
+        if seen and len(t) and len(seen[-1][0]) and seen[-1][0][-1] == t[0] and seen[-1][4][-1] == place[0]:  # a range that the view's edge cuts
+            lo[0] = seen[-1][2][-1]
+            seen[-1] = tuple(x[:-1] for x in seen[-1])
+        seen.append((t, a, lo, hi, place))
+    t, a, lo, hi = (np.concatenate(x) for x in list(zip(*seen, strict=True))[:4])
+    return t, a, lo, hi
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() of fewer than 2^24 bytes, and the anchors' places."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     n = len(data) - LENGTH + 1
     if n < 1:
         return none
-    if n >= 1 << 24:
-        raise ValueError("too many bytes at once")
     h, width, power = data.astype(np.uint64) + np.uint64(1), 1, int(M1)
     while width < KGRAM:
         h = h[:-width] * np.uint64(power) + h[width:]
@@ -94,7 +112,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     nexts = np.flatnonzero(stop)
     last = nexts[np.searchsorted(nexts, first, side="right")] - 1
     t = text[first]
-    return t, h[place[first]], first - starts[t], last - starts[t]
+    return t, h[place[first]], first - starts[t], last - starts[t], place[first]
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
