@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,13 @@ def test_text_stream(spark, tmp_path):
     q = stream.run_batches(stream.text_stream(spark, str(tmp_path / "in")), lambda b, n: seen.extend(r.line for r in b.collect()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sorted(seen) == ["one", "two"]
+
+
+def test_inline_paths_go_on_while_they_pay(spark):
+    text = "\n".join(f"/area{i:03}-component/file{j}.c" for i in range(70) for j in range(6))
+    r = spark.createDataFrame([(text,)], "t string").select(reduce.inline_paths("t").alias("r")).first().r
+    names = dict(e.split("=") for e in r.footer.removeprefix("paths: ").split("; "))
+    assert len(names) == 70 and "component/" not in r.text
+    for k in reversed(names):
+        r_text = re.sub(re.escape(k) + r"(?=/)", names[k], r.text if k == next(reversed(names)) else r_text)
+    assert r_text == text

@@ -146,6 +146,7 @@ def longest_prefix(paths: DataFrame, dirs: DataFrame, path: str = "path") -> Dat
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("footer", T.StringType())]))
 def inline_paths(texts: pd.Series) -> pd.DataFrame:
     """RED-13: a document's own path dictionary by greedy set cover: the candidate that saves most is taken while it saves anything."""
+    import itertools
     import re
     from collections import Counter
 
@@ -157,7 +158,7 @@ def inline_paths(texts: pd.Series) -> pd.DataFrame:
                 prefix = prefix.rsplit("/", 1)[0]
                 uses[prefix] += 0
         entries = []
-        for n in range(1, 64):
+        for n in itertools.count(1):
             best, gain = "", 0
             for c in uses:
                 k = len(re.findall(re.escape(c) + r"(?=/)", text))
