@@ -211,7 +211,10 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with one document of each class."""
+    """docs with one document of each class; of rows that are the same document (id and text) one stays, those with a null id stay all."""
+    ids = docs.agg(F.count(key).alias("n"), F.countDistinct(key).alias("d")).first()
+    if ids["n"] != ids["d"]:
+        docs = docs.where(F.col(key).isNotNull()).dropDuplicates([key, "text"]).unionByName(docs.where(F.col(key).isNull()))
     gone = classes(docs, key).where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
 

@@ -35,15 +35,22 @@ def _share(text: Column, cls: str, n: Column) -> Column:
     return F.log((n - F.length(F.regexp_replace(text, cls, ""))) / F.greatest(n, F.lit(1)) + 1e-3)
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _x, an array of doubles in the order of FEATURES."""
-    t, n = text_or_empty(text), F.length(text_or_empty(text))
-    words = F.filter(F.split(F.lower(t), r"[\s|]+"), lambda w: w != "")
-    df = docs.withColumn("_w", words)
-    k = F.greatest(F.size("_w"), F.lit(1))
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once: whatever is pushed down or merged, the optimizer copies no part of it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def features(text: Column) -> Column:
+    """The statistics of a text (not null), an array of doubles in the order of FEATURES."""
+    words = F.filter(F.split(F.lower(text), r"[\s|]+"), lambda w: w != "")
+    return let(F.struct(text.alias("t"), F.length(text).alias("n"), words.alias("w")), lambda s: _statistics(s["t"], s["n"], s["w"]))
+
+
+def _statistics(t: Column, n: Column, w: Column) -> Column:
+    k = F.greatest(F.size(w), F.lit(1))
     lines = n - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
-    pairs = F.size(F.filter(F.col("_w"), lambda w, i: (i > 0) & (w == F.get("_w", i - 1))))
-    return df.withColumn("_x", F.array(*[F.coalesce(c, F.lit(0.0)).cast("double") for c in (
+    pairs = F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1))))
+    return F.array(*[F.coalesce(c, F.lit(0.0)).cast("double") for c in (
         F.log1p(n),
         _share(t, r"\p{Lu}+", n),
         _share(t, r"[0-9]+", n),
@@ -53,10 +60,15 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         _share(t, r"[.,;:?]+", n),
         _share(t, r"\s+", n),
         F.log(n / k + 1e-3),
-        F.size(F.array_distinct("_w")) / k,
+        F.size(F.array_distinct(w)) / k,
         F.log(k / lines),
         F.log(pairs / k + 1e-3),
-    )])).drop("_w")
+    )])
+
+
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds _x, the features."""
+    return docs.withColumn("_x", features(text_or_empty(text)))
 
 
 @dataclass
@@ -104,11 +116,12 @@ def fit(train: DataFrame, label: str = "quality", shrink: float = SHRINK, temper
     return Model(np.array(means), np.array(inverse), np.array(logdet), math.log(sums[1][0] / sums[0][0]), temper)
 
 
-def score(model: Model | None, x: str = "_x") -> Column:
+def score(model: Model | None, x: str | Column = "_x") -> Column:
     """The probability of class 1."""
     if model is None:
         return F.lit(0.5)
     d = len(FEATURES)
+    x = F.col(x) if isinstance(x, str) else x
 
     def mahalanobis(c: int) -> Column:
         total = F.lit(0.0)
@@ -116,7 +129,7 @@ def score(model: Model | None, x: str = "_x") -> Column:
             row = model.inverse[c][i]
             z = F.lit(float(-(row @ model.mean[c])))
             for j in range(i + 1):
-                z = z + F.lit(float(row[j])) * F.col(x)[j]
+                z = z + F.lit(float(row[j])) * x[j]
             total = total + z * z
         return total
 
@@ -128,16 +141,29 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, key: str = "doc_id") -> DataFrame:
-    """Adds score, predicted and held_out. Only labelled rows outside the held-out fold are learnt from."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model | None:
+    """The model of all labelled rows outside the held-out fold."""
     train = labels.select(F.col(key).alias("_k"), "quality").where(F.col("quality").isNotNull())
     # the statistics, not the texts, are what the join with the labels shuffles
     own = with_features(docs.select(F.col(key), "text").where(~held_out(key))).select(key, "_x")
-    model = fit(own.join(train, F.col(key) == F.col("_k")).select("_x", "quality"))
-    return (
-        with_features(docs).withColumn("score", score(model)).drop("_x")
-        .withColumn("predicted", (F.col("score") >= accept).cast("int")).withColumn("held_out", held_out(key))
-    )
+    return fit(own.join(train, F.col(key) == F.col("_k")).select("_x", "quality"))
+
+
+def text_score(model: Model | None, text: str = "text") -> Column:
+    """The score of a text, from its statistics, which are computed once wherever the column ends up."""
+    return F.lit(0.5) if model is None else let(features(text_or_empty(text)), lambda x: score(model, x))
+
+
+def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, key: str = "doc_id") -> DataFrame:
+    """Adds score, predicted and held_out; columns of these names are replaced."""
+    made = docs.withColumn("score", text_score(learn(docs, labels, key)))
+    return made.withColumn("predicted", (F.col("score") >= accept).cast("int")).withColumn("held_out", held_out(key))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, key: str = "doc_id") -> DataFrame:
+    """docs that the classifier accepts, with their columns as they are; all of them if a class has no training row."""
+    model = learn(docs, labels, key)
+    return docs if model is None else docs.where(text_score(model) >= accept)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
