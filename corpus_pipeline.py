@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage's result is written as Parquet and is the next one's input."""
+"""The corpus pipeline: each stage's result is written as Parquet and is the next one's input.
+
+Defined results of every stage: null and empty texts are documents without words; rows with a null id stay unless the
+classifier rejects them; a document that repeats (same id and text) stays once; an empty table gives no rows; extra
+columns come through as they are, whatever their names."""
 
 from __future__ import annotations
 
@@ -10,29 +14,40 @@ from textsieve.llm.common import cut, table
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """docs' columns, with n_chars of the text as it is now."""
+    """docs' columns, with n_chars (where there is one) of the text as it is now."""
+    if "n_chars" not in docs.columns:
+        return df
     return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that no name of theirs can meet one of an operator's."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the smallest id."""
-    return near_dedup.keep_first(docs).select(*docs.columns)
+    return _unpacked(near_dedup.keep_first(_packed(docs)), docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; documents of which nothing is left go with them."""
-    return _as_documents(line_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")), docs)
+    """Repeated passages go; documents of which nothing is left go with them."""
+    made = line_dedup.dedup(_packed(docs), min_run=line_dedup.MIN_RUN)
+    return _as_documents(_unpacked(made.where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")), docs), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return _unpacked(decontaminate.clean(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
