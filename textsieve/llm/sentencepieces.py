@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The model's pieces are read from its file (a parameter; the file is never copied). The search goes
-over a chunk's positions from left to right and keeps one backpointer a position: the last piece of
-the best segmentation that ends there. Only the last ``longest piece`` positions can be stepped from,
-so only they are kept; whenever the paths that survive in this window meet in one boundary, the ids
-before it are committed and forgotten. Memory is bounded by the longest piece, not by the text.
+over a chunk's positions from left to right, follows the pieces that begin there in a trie, and keeps one
+backpointer a position: the last piece of the best segmentation that ends there. Only positions within the
+longest piece can still be reached or left, so only they are kept; whenever the paths that survive in this window
+meet in one boundary, the ids before it are committed and forgotten. Memory is bounded by the longest piece, not by
+the text. All chunks, short and long ones, go through this one search (``codes``).
 
 The shipped model is of the BPE kind, whose best segmentation is the one that its merges make, not the
 one with the largest sum of scores. A segmentation is what the merges make exactly if every two
@@ -19,18 +20,20 @@ next blank is a chunk of its own; ids of short chunks are remembered (at most CA
 character without a piece becomes its UTF-8 bytes' pieces.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is decoded as a blank, as the model
-cannot tell them apart (``exact`` is false then); repeated rows are encoded alike; extra columns stay.
+cannot tell them apart (``exact`` is false then); repeated rows are encoded alike; extra columns stay, but for those
+named ``ids``, ``n_ids`` and ``exact``, which are replaced.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import re
 import sys
 import types
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,7 @@ MODEL = os.environ.get("TEXTSIEVE_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, CACHE, CACHED_CHARS = "▁", 1_000_000, 40
 START, DEAD, OTHER = -2, -1, 1 << 20  # codes: before the text, no path, character without a piece
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+NONE: tuple[int, dict] = (-1, {})
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -90,6 +94,27 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], str]:
     return pieces, kind
 
 
+class Window:
+    """What the search keeps: the text from the last committed boundary on, and for each place in it the code of the piece that
+    ends there on the best path, where that piece begins, and the path's score; at is the next start."""
+
+    __slots__ = ("at", "last", "start", "text", "total")
+
+    def __init__(self) -> None:
+        self.text, self.last, self.start, self.total, self.at = "", [START], [0], [0.0], 0
+
+    def append(self, block: str, bpe: bool) -> None:
+        self.text += block
+        self.last += [DEAD] * len(block)
+        self.start += [0] * len(block)
+        if not bpe:
+            self.total += [0.0] * len(block)
+
+    def forget(self, at: int, committed: int) -> None:
+        self.text, self.last, self.total, self.at = self.text[committed:], self.last[committed:], self.total[committed:], at - committed
+        self.start = [x - committed for x in self.start[committed:]]
+
+
 class Pieces:
     """The search over one model."""
 
@@ -97,158 +122,162 @@ class Pieces:
         self.kind = kind
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, 4, 5)}
         self.score = {p: pieces[i][1] for p, i in self.id.items()}
+        self.text = [p for p, _, _ in pieces]
         self.longest = max(map(len, self.id), default=1)
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.least = min(self.score.values(), default=0.0) - 10.0
-        self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(BLANK, " ").encode() if t in (NORMAL, 4, 5) else " ⁇ ".encode() if t == UNKNOWN else b"" for p, _, t in pieces]
+        surface = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(BLANK, " ").encode() if t in (NORMAL, 4, 5) else " ⁇ ".encode() if t == UNKNOWN else b"" for p, _, t in pieces]
+        self.flat = np.frombuffer(b"".join(surface), np.uint8)
+        self.width = np.array([len(x) for x in surface], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.width)[:-1]]) if surface else np.zeros(0, np.int64)
+        self.root: dict = {}  # character -> (the piece's id or -1, the node below)
+        for p, i in self.id.items():
+            below = self.root
+            for k, c in enumerate(p):
+                own, under = below.get(c, NONE)
+                under = {} if own < 0 and not under else under
+                below[c] = (i if k == len(p) - 1 else own, under)
+                below = under
         self.pair: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
-        self.whole: dict[str, bool] = {}
-
-    def merges(self, text: str) -> list[str]:
-        """What the merges make of a short text: the best-scored pair first, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-
-    def code(self, piece: str) -> int:
-        i = self.id.get(piece)
-        return OTHER + ord(piece) if i is None else i
-
-    def admissible(self, last: str, piece: str) -> bool:
-        key = self.code(last) << 22 | self.code(piece)
-        ok = self.pair.get(key)
-        if ok is None:
-            if len(self.pair) > CACHE:
-                self.pair.clear()
-            ok = self.pair[key] = self.merges(last + piece) == [last, piece]
-        return ok
-
-    def reachable(self, piece: str) -> bool:
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = len(piece) == 1 or self.merges(piece) == [piece]
+        self.whole: dict[int, bool] = {}
+
+    def merges(self, text: str, edge: int = 0) -> list[str]:
+        """What the merges make of a short text: the best-scored pair first, the leftmost of equals. With an edge, they end (and
+        what they have made is returned) as soon as a piece crosses it."""
+        parts, score, none = list(text), self.score.get, -math.inf
+        pairs = [score(x + y, none) for x, y in itertools.pairwise(parts)]
+        edge -= 1  # the pair that crosses the edge, while it is in no piece
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            at = pairs.index(best)
+            new = parts[at] + parts[at + 1]
+            parts[at:at + 2] = [new]
+            if at <= edge:
+                if at == edge:
+                    break
+                edge -= 1
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(new + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + new, none)
+        return parts
+
+    def piece(self, code: int) -> str:
+        return self.text[code] if code < OTHER else chr(code - OTHER)
+
+    def admissible(self, last: int, code: int) -> bool:
+        """Whether the merges make these two pieces of their concatenation (BPE)."""
+        if last == START:
+            ok = self.whole[code] = self.merges(self.piece(code)) == [self.piece(code)]
+            return ok
+        if len(self.pair) > CACHE:
+            self.pair.clear()
+        a, b = self.piece(last), self.piece(code)
+        ok = self.pair[last << 22 | code] = self.merges(a + b, len(a)) == [a, b]
         return ok
 
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        i = self.id.get(piece)
-        if i is not None:
-            return (i,)
-        return tuple(self.byte[b] for b in piece.encode()) if self.byte else (self.unknown,)
-
-    def stream(self, chars: Iterator[str]) -> Iterator[str]:
-        """Pieces of the characters, each as soon as it is certain."""
-        known, longest, bpe = self.id, self.longest, self.kind == "bpe"
-        text, base = "", 0  # the window, and the position of its first character
-        last: dict[int, str] = {0: ""}  # backpointers: position -> piece that ends there
-        total = {0: 0.0}
-        n = committed = 0
-        for c in chars:
-            text += c
-            n += 1
-            best, found = None, ""
-            for k in range(min(longest, n - base), 0, -1):
-                at = n - k
-                if at not in last:
-                    continue
-                piece = text[at - base:]
-                if k > 1 and piece not in known:
-                    continue
-                if bpe:
-                    if self.reachable(piece) and (at == 0 or self.admissible(last[at], piece)):
-                        found = piece
-                        break
-                else:
-                    s = total[at] + self.score.get(piece, self.least)
-                    if best is None or s > best:
-                        best, found = s, piece
-            if found:
-                last[n] = found
-                if not bpe:
-                    total[n] = best
-            if n - committed >= 2 * longest:
-                yield from (done := self._converged(last, committed, n))
-                committed += sum(map(len, done))
-                keep = min(committed, n - longest)
-                for p in [p for p in last if p < keep and p != committed]:
-                    del last[p]
-                    total.pop(p, None)
-                text, base = text[keep - base:], keep
-        yield from self._back(last, n, committed)
-
-    def _back(self, last: dict[int, str], at: int, stop: int) -> list[str]:
+    def ids_of(self, code: int | str) -> tuple[int, ...]:
+        """The ids of a code, or of a piece."""
+        if isinstance(code, str):
+            code = self.id.get(code, OTHER + ord(code[0]))
+        if code < OTHER:
+            return (code,)
+        return tuple(self.byte[b] for b in chr(code - OTHER).encode()) if self.byte else (self.unknown,)
+
+    def codes(self, blocks: Iterable[str]) -> Iterator[list[int]]:
+        """The pieces' codes, in lists, each as soon as it is certain."""
+        window = Window()
+        for block in blocks:
+            yield self.search(window, block, False)
+        yield self.search(window, "", True)
+
+    def search(self, w: Window, block: str, ended: bool) -> list[int]:
+        """Goes on with the next characters; the codes that are certain now (all, if the text has ended)."""
+        pair, whole, longest, bpe, out = self.pair, self.whole, self.longest, self.kind == "bpe", []
+        w.append(block, bpe)
+        text, last, start, total, at, n, committed = w.text, w.last, w.start, w.total, w.at, len(w.text), 0
+        stop = n if ended else n - longest  # the starts all of whose pieces are within the text
+        while at < stop:
+            before, below, end, first = last[at], self.root, at, at + 1
+            if before != DEAD:
+                for c in text[at:at + longest]:
+                    end += 1
+                    code, below = below.get(c, NONE)
+                    if code < 0:
+                        if end > first:
+                            if below:
+                                continue
+                            break
+                        code = OTHER + ord(c)
+                    if bpe:
+                        if last[end] == DEAD:  # only one path to a place is admissible
+                            ok = pair.get(before << 22 | code) if before != START else whole.get(code)
+                            if self.admissible(before, code) if ok is None else ok:
+                                last[end], start[end] = code, at
+                    else:
+                        s = total[at] + (self.score[self.text[code]] if code < OTHER else self.least)
+                        if last[end] == DEAD or s > total[end]:
+                            last[end], start[end], total[end] = code, at, s
+            at += 1
+            if at - committed >= 2 * longest:
+                common = self._converged(last, start, committed, at, n)
+                out += self._back(last, start, common, committed)
+                committed = common
+        if ended:
+            return out + self._back(last, start, n, committed)
+        w.forget(at, committed)
+        return out
+
+    @staticmethod
+    def _back(last: list[int], start: list[int], at: int, stop: int) -> list[int]:
         out = []
         while at > stop:
             out.append(last[at])
-            at -= len(last[at])
+            at = start[at]
         return out[::-1]
 
-    def _converged(self, last: dict[int, str], committed: int, n: int) -> list[str]:
-        """The pieces between the committed position and the boundary that all surviving paths share."""
+    def _converged(self, last: list[int], start: list[int], committed: int, at: int, n: int) -> int:
+        """The last boundary that all paths share that can go on: those to at and to the places that pieces from before it reach."""
         paths = []
-        for p in range(max(committed, n - self.longest + 1), n + 1):
-            if p in last:
-                cuts, at = [], p
-                while at > committed:
-                    cuts.append(at)
-                    at -= len(last[at])
+        for p in range(at, min(n, at + self.longest - 1) + 1):
+            if last[p] != DEAD:
+                cuts = []
+                while p > committed:
+                    cuts.append(p)
+                    p = start[p]
                 cuts.append(committed)
                 paths.append(cuts[::-1])
         common = committed
-        for cuts in zip(*paths):
+        for cuts in zip(*paths):  # noqa: B905
             if len(set(cuts)) > 1:
                 break
             common = cuts[0]
-        return self._back(last, common, committed)
+        return common
+
+    def stream(self, chars: Iterable[str]) -> Iterator[str]:
+        """Pieces of the characters, each as soon as it is certain."""
+        for codes in self.codes(chars):
+            yield from map(self.piece, codes)
 
     def short(self, chunk: str) -> list[int]:
-        """stream() for a chunk that is shorter than its window, all in one go (BPE only)."""
-        n, known, longest, pair = len(chunk), self.id, self.longest, self.pair
-        last, start = [DEAD] * (n + 1), [0] * (n + 1)
-        last[0] = START
-        for end in range(1, n + 1):
-            for at in range(max(0, end - longest), end):
-                before = last[at]
-                if before == DEAD:
-                    continue
-                piece = chunk[at:end]
-                own = known.get(piece)
-                if own is None:
-                    if end - at > 1:
-                        continue
-                    own = OTHER + ord(piece)
-                if before == START:
-                    ok = self.reachable(piece)
-                else:
-                    ok = pair.get(before << 22 | own)
-                    if ok is None:
-                        ok = self.admissible(chunk[start[at]:at], piece)
-                if ok:
-                    last[end], start[end] = own, at
-                    break
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = start[end]
-        if max(out) < OTHER:
-            return out[::-1]
-        return [i for c in out[::-1] for i in ((c,) if c < OTHER else self.ids_of(chr(c - OTHER)))]
+        """The ids of a chunk that is in memory."""
+        out = self.search(Window(), chunk, True)
+        if not out or max(out) < OTHER:
+            return out
+        return [i for c in out for i in self.ids_of(c)]
 
     def chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk as 32-bit numbers."""
-        if len(chunk) > CACHED_CHARS or self.kind != "bpe":
-            return array("i", itertools.chain.from_iterable(map(self.ids_of, self.stream(iter(chunk))))).tobytes()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        got = self.cache[chunk] = array("i", self.short(chunk)).tobytes()
+        """The ids of a chunk as 32-bit numbers; those of chunks of usual length are remembered."""
+        got = array("i", self.short(chunk)).tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[chunk] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -257,8 +286,14 @@ class Pieces:
         cache, miss = self.cache, self.chunk
         return b"".join([cache.get(c) or miss(c) for c in CHUNKS(BLANK + text.replace(" ", BLANK))])
 
+    def surfaces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids' pieces, and where each piece's end."""
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        return self.flat[np.repeat(self.begin[ids] - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
     def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        out = self.surfaces(np.asarray(ids, dtype=np.int64))[0].tobytes().decode("utf-8", "replace")
         return out[1:] if out.startswith(" ") else out
 
 
@@ -273,6 +308,23 @@ def kept(name: str, make):
     return home.value
 
 
+def same(own: Pieces, ids: np.ndarray, offsets: np.ndarray, texts: list[str | None], step: int = 1 << 20) -> list[bool]:
+    """Whether decoding each text's ids gives the text back; some ids at a time, a long text by itself in parts."""
+    out, i = [], 0
+    while i < len(texts):
+        to = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1)
+        data, ends = [], []
+        for at in range(int(offsets[i]), int(offsets[to]), step):
+            part, own_ends = own.surfaces(ids[at:min(at + step, int(offsets[to]))].astype(np.int64))
+            ends.append(own_ends + sum(map(len, data)))
+            data.append(part.tobytes())
+        whole, cuts = b"".join(data), np.concatenate([[0], *ends])[offsets[i:to + 1] - offsets[i]]
+        for j, t in enumerate(texts[i:to]):
+            out.append(whole[cuts[j]:cuts[j + 1]] == (" " + t).encode() if t else cuts[j] == cuts[j + 1])
+        i = to
+    return out
+
+
 def load(path: str = MODEL) -> Pieces:
     return Pieces(*read_model(path))
 
@@ -302,7 +354,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
                 counts = np.array([len(c) // 4 for c in coded], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 ids = np.frombuffer(b"".join(coded), dtype="<i4")
-                exact = [own.decode(ids[offsets[i]:offsets[i + 1]]) == (t or "") for i, t in enumerate(values)]
+                exact = same(own, ids, offsets, values)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in fields]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(counts), pa.array(exact)], names=[*[f.name for f in fields], "ids", "n_ids", "exact"])
