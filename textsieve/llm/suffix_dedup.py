@@ -36,15 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import table, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTH, KGRAM, HOT, CHUNK, VIEW = 100, 32, 512, 3 << 20, 1 << 22
+LENGTH, KGRAM, HOT, CHUNK, VIEW = 100, 32, 512, 1 << 20, 1 << 22
 GRAMS = LENGTH - KGRAM + 1
 SAMPLE, COMMON, HOT_LIST = 64, 48, 100_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -342,11 +343,14 @@ def merge_runs(runs: list[list[tuple[bytes, tuple]]]) -> tuple[list[tuple[bytes,
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's first occurrences, sorted by run and string."""
+    """A partition's rows, sorted by run and string: spans (no string) go through, first occurrences are merged."""
     runs: list[list[tuple[bytes, tuple]]] = []
     last: object = runs
     for batch in batches:
-        for i, h, lo, s, run in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        span = batch.filter(pc.is_null(batch.column(4)))
+        if span.num_rows:
+            yield span.select(["id", "h", "lo", "hi"])
+        for i, h, lo, _, s, run in zip(*[c.to_pylist() for c in batch.filter(pc.is_valid(batch.column(4))).columns], strict=True):
             if run != last:
                 runs.append([])
                 last = run
@@ -381,15 +385,15 @@ def _apply(text: bytes, spans: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds kept and spans; the last two columns are text and cover."""
+    """Adds kept and spans; the last two columns are text and cover (null: nothing goes)."""
     for batch in batches:
         texts, cover = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         offsets = cover.offsets.to_numpy()
         pairs = np.column_stack([cover.values.field(0).to_numpy(zero_copy_only=False), cover.values.field(1).to_numpy(zero_copy_only=False)])
         kept, starts, ends, sizes = [], [], [], [0]
         for i in range(batch.num_rows):
-            raw = texts[i].as_buffer().to_pybytes()
-            own = pairs[offsets[i]:offsets[i + 1]]
+            raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
+            own = pairs[offsets[i]:offsets[i + 1]] if cover[i].is_valid else pairs[:0]
             if len(own):
                 raw, runs = _apply(raw, own)
                 starts.append(runs[:, 0])
@@ -403,9 +407,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.binary()), spans], names=[*batch.schema.names[:-1], "kept", "spans"])
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """docs (id, h, text; text not null) -> (id, h, lo, hi): spans to remove, which may overlap."""
+def covered(docs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """docs (id, h, text) -> (id, h, lo, hi): spans to remove, which may overlap. whole: docs with the columns that the caller
+    joins the spans to, so that one exchange of the texts serves both joins."""
     made = "a bigint, id bigint, h bigint, at bigint, n bigint, route bigint"
+    whole = docs if whole is None else whole
     own = docs.where(F.octet_length("text") >= LENGTH)
     context = docs.sparkSession.sparkContext
     sample = own.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows(None), made).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -420,27 +426,29 @@ def covered(docs: DataFrame) -> DataFrame:
     group = Window.partitionBy("a", F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096))))
     seen = rows.withColumns({"n": F.coalesce("n", F.count(F.lit(1)).over(group)), "route": F.coalesce("route", F.min("id").over(group))}).where("n > 1")
     split = F.when(F.col("n") <= HOT, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / HOT)))).cast("bigint")
-    hits = seen.select("id", "h", F.struct("at", F.coalesce("route", F.lit(-1)).alias("route"), split.alias("split")).alias("hit")).groupBy("id", "h").agg(F.collect_list("hit").alias("hits"))
-    with_hits = own.withColumnRenamed("id", "id_").withColumnRenamed("h", "h_").join(hits, F.col("id_").eqNullSafe(F.col("id")) & (F.col("h_") == F.col("h"))).select("id", "h", "text", "hits")
+    hits = seen.select(F.col("id").alias("_cid"), F.col("h").alias("_ch"), F.struct("at", F.coalesce("route", F.lit(-1)).alias("route"), split.alias("split")).alias("hit")).groupBy("_cid", "_ch").agg(F.collect_list("hit").alias("hits"))
+    with_hits = whole.join(hits, F.col("id").eqNullSafe(F.col("_cid")) & (F.col("h") == F.col("_ch"))).select("id", "h", "text", "hits")
     pieces = with_hits.mapInArrow(_pieces, "key bigint, hot boolean, id bigint, h bigint, lo bigint, piece binary")
-    found = cut(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_shard, "id bigint, h bigint, lo bigint, hi bigint, string binary, run bigint"), "spans")
-    firsts = found.where("string is not null").select("id", "h", "lo", "string", "run")
-    merged = firsts.repartition(F.xxhash64("string")).sortWithinPartitions("run", "string").mapInArrow(_merge, "id bigint, h bigint, lo bigint, hi bigint")
-    return found.where("string is null").select("id", "h", "lo", "hi").unionByName(merged)
+    found = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_shard, "id bigint, h bigint, lo bigint, hi bigint, string binary, run bigint")
+    dealt = found.repartition(F.when(F.col("string").isNull(), F.xxhash64("id", "h", "lo")).otherwise(F.xxhash64("string")))
+    return dealt.sortWithinPartitions("run", "string").mapInArrow(_merge, "id bigint, h bigint, lo bigint, hi bigint")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with kept (the bytes that stay) and spans (start, end: the maximal removed runs, in bytes)."""
+    """docs with kept (the bytes that stay) and spans (start, end: the maximal removed runs, in bytes); columns of these names are replaced."""
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("d")).first()
     h = F.lit(0).cast("bigint") if ids["n"] == ids["d"] else F.xxhash64(text_or_empty(text))
-    plain = docs.withColumns({"_id": F.col(key).cast("bigint"), "_h": h, "_t": text_or_empty(text)})
-    spans = covered(plain.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("_t").alias("text")))
+    others = [c for c in docs.columns if c not in ("kept", "spans", text)]
+    kind = dict(docs.dtypes)[key]
+    rest = [c for c in others if c != key or kind != "bigint"]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"), F.col(key).cast("bigint").alias("id"), h.alias("h"), F.col(text).alias("text"))
+    spans = covered(packed.select("id", "h", "text"), packed)
     cover = spans.groupBy(F.col("id").alias("_cid"), F.col("h").alias("_ch")).agg(F.collect_list(F.struct("lo", "hi")).alias("_cover"))
-    joined = plain.join(cover, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch")), "left")
-    others = [c for c in docs.columns if c not in ("kept", "spans")]
-    ready = joined.select(*others, "_t", F.coalesce("_cover", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("_cover"))
+    ready = packed.join(cover, F.col("id").eqNullSafe(F.col("_cid")) & (F.col("h") == F.col("_ch")), "left").select("_rest", "id", "text", "_cover")
     kinds = ", ".join(f"`{n}` {t}" for n, t in ready.dtypes[:-1])
-    return ready.mapInArrow(_cleaned, f"{kinds}, kept binary, spans array<struct<start:bigint,end:bigint>>").drop("_t")
+    made = ready.mapInArrow(_cleaned, f"{kinds}, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    own = {text: F.col("text")} | {c: F.col(f"_rest.`{c}`") for c in rest} | ({key: F.col("id")} if kind == "bigint" else {})
+    return made.select(*[own[c].alias(c) for c in docs.columns if c in own], "kept", "spans")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
