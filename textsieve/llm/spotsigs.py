@@ -9,15 +9,17 @@ length so that similar sets lie in the same or in the next partition, looks them
 signatures (the prefix that any set as similar must meet), prunes by length and verifies.
 
 ``with_edits`` puts beside every document the one that follows by id, and a text whose last quarter is
-the beginning of that one. Ids are cut into ranges of about ``RANGE`` rows; a range is ordered in one
-task, and its last row is answered by the first row of the next range, found among the ranges' smallest
-ids (one row a range).
+the beginning of that one. Only ids, text hashes and lengths are ordered: they are dealt into ranges of near
+equal size, whatever the ids are, and written once; a range's last row is followed by the first of the next
+range (one row a range). Each text is then asked for just the characters that its predecessor needs; texts
+are shuffled once, by id, and never sorted or held in a window.
 
 Only array functions and joins are used. Defined results: a null text is empty; an empty text has an
 empty fingerprint, two empty fingerprints are alike (1.0) and an empty and another one are not (0.0); a
 text with words but no complete chain has one signature, the hash of all its words, and a text without
-words the hash of the text; rows that share an id follow each other by their texts' hashes; null ids
-come first; the last document is followed by the first, and so a single document by itself.
+words the hash of the text; rows that share an id follow each other by their texts' hashes; equal rows (id and
+text) count as one and get equal results; null ids come first; the last document is followed by the first, and so
+a single document by itself; ids may be of any type that can be ordered; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import cut, table, text_or_empty
 
-CHAIN, REACH, RANGE, HEADS = 2, 12, 2048, 100_000
+CHAIN, REACH, RANGE = 2, 12, 16_384
 #: Very common words of the four languages.
 COMMON = ("the", "a", "an", "is", "was", "that", "der", "die", "das", "ein", "ist", "le", "la", "les", "un", "une", "est", "el", "los", "las", "una", "es",
     "of", "to", "and", "in", "for", "on", "with", "by", "as", "at", "it", "this", "be", "are", "from", "or",
@@ -90,39 +92,38 @@ def length_partition(signatures: str, tau: float = 0.8) -> Column:
     return F.floor(F.log(F.greatest(F.size(signatures), F.lit(1)).cast("double")) / math.log(1 / tau)).cast("int")
 
 
-def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, _text, _sig, _next_text, _next_sig) for all rows; see the module's text."""
-    one = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = one["lo"] or 0, one["hi"] or 0, one["n"] or 1
-    width = max(1, (hi - lo + 1) * RANGE // n)
-    own = docs.select(F.col(key), text_or_empty().alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    own = own.withColumn("_range", F.coalesce(F.floor((F.col(key) - lo) / width), F.lit(-1)).cast("bigint"))
-    rows = with_signatures(own, F.col("_text"), "_sig")
-    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), "_tie")
-    lead = rows.withColumn("_following", F.lead(F.struct("_text", "_sig")).over(order))
-    # one row for each range: its first document, and the range before it (the last one before the first)
-    least = own.groupBy("_range").agg(F.min(F.struct(F.col(key), "_tie")).alias("m")).select("_range", F.col(f"m.{key}").alias("_first"), F.col("m._tie").alias("_first_tie"))
-    line = Window.orderBy("_range")
-    before = least.withColumn("_before", F.coalesce(F.lag("_range").over(line), F.max("_range").over(Window.partitionBy())))
-    few = F.broadcast if n <= RANGE * HEADS else (lambda f: f)  # one row a range; beyond the bound both sides are shuffled
-    heads = (
-        own.join(few(before), (own["_range"] == before["_range"]) & own[key].eqNullSafe(before["_first"]) & (own["_tie"] == before["_first_tie"]))
-        .select("_before", "_text").groupBy("_before").agg(F.max("_text").alias("_head"))
-    )
-    heads = with_signatures(heads, F.col("_head"), "_head_sig").withColumnRenamed("_before", "_range")
-    return lead.join(heads, "_range").select(
-        key, "_text", "_sig",
-        F.when(F.col("_following").isNull(), F.col("_head")).otherwise(F.col("_following._text")).alias("_next_text"),
-        F.when(F.col("_following").isNull(), F.col("_head_sig")).otherwise(F.col("_following._sig")).alias("_next_sig"),
-    )
+def successors(texts: DataFrame) -> DataFrame:
+    """texts (id, tie, text) -> (id, tie, n, copies, next_id, next_tie) for each distinct (id, tie), in the order of both."""
+    rows = texts.groupBy("id", "tie").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("copies"))
+    dealt = rows.repartitionByRange(texts.count() // RANGE + 1, F.col("id").asc_nulls_first(), "tie")
+    placed = cut(dealt.withColumn("part", F.spark_partition_id()), "order")  # read twice: as written, whatever is run again
+    line = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "tie")
+    heads = placed.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("head"))
+    parts = Window.orderBy("part")
+    after = heads.select(F.col("part").alias("_part"), F.coalesce(F.lead("head").over(parts), F.first("head").over(parts)).alias("_after"))
+    nexts = placed.withColumn("_next", F.lead(F.struct("id", "tie")).over(line)).join(after, F.col("part") == F.col("_part"))
+    return nexts.withColumn("_next", F.coalesce("_next", "_after")).select("id", "tie", "n", "copies", F.col("_next.id").alias("next_id"), F.col("_next.tie").alias("next_tie"))
+
+
+def with_next(docs: DataFrame, key: str = "doc_id", share: int | None = None) -> DataFrame:
+    """(key, _text, _next_text, _next_sig) for all rows. With a share, _next_text is only as much of the next text as that part of the row's own has (4: a quarter)."""
+    texts = docs.select(F.col(key).alias("id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = cut(successors(texts), "successors")
+    asked = order.select(F.col("id").alias("_for"), F.col("tie").alias("_for_tie"), F.floor(F.col("n") / (share or 1)).cast("int").alias("_most"), F.col("next_id").alias("_id"), F.col("next_tie").alias("_tie"))
+    found = texts.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    answers = found.select("_for", "_for_tie", (F.substring(F.col("text"), F.lit(1), F.col("_most")) if share else F.col("text")).alias("_next_text"), F.col("text").alias("_whole"))
+    answers = with_signatures(answers, F.col("_whole"), "_next_sig").drop("_whole")
+    if not order.where("copies > 1").isEmpty():  # equal rows have answered once each
+        answers = answers.dropDuplicates(["_for", "_for_tie"])
+    return texts.join(answers, F.col("id").eqNullSafe(F.col("_for")) & (F.col("tie") == F.col("_for_tie"))).select(F.col("id").alias(key), F.col("text").alias("_text"), "_next_text", "_next_sig")
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, _text, n_chars, _edited, _sig, _edited_sig, _next_sig) for all rows."""
     n = F.length("_text")
-    quarter = F.floor(n / 4).cast("int")
-    rows = with_next(docs, key).withColumn("n_chars", n.cast("bigint")).withColumn(
-        "_edited", F.concat(F.substring(F.col("_text"), F.lit(1), n - quarter), F.substring(F.col("_next_text"), F.lit(1), quarter)))
-    return with_signatures(rows, F.col("_edited"), "_edited_sig")
+    rows = with_next(docs, key, 4).withColumn("n_chars", n.cast("bigint")).withColumn(
+        "_edited", F.concat(F.substring(F.col("_text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.col("_next_text")))
+    return with_signatures(with_signatures(rows, F.col("_text"), "_sig"), F.col("_edited"), "_edited_sig")
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
