@@ -19,11 +19,19 @@ Items with fewer tokens than WINDOW are one window of their own length; document
 windows of those lengths (fewer than WINDOW different ones). The benchmark's windows are broadcast if
 they are at most ``BROADCAST_ROWS``, and joined by shuffling beyond.
 
+Not all windows of a document need to be hashed. In each window of the benchmark the longest two neighbouring words that are
+no slots in any form are its key (the longest word, where no two are neighbours); a window that equals it in any form
+holds those very words. So only windows around keys are made, and texts without one are done after their words were
+hashed once. If the benchmark has windows of slots alone, windows around numbers, units and capitalised words are made
+as well. Up to ``KEYS`` keys are part of the plan; beyond,
+all windows of all documents are made, with the same result.
+
 Only array functions and joins are used. Document windows are hashed inside one row and exploded
 straight into the join, so no more than the matches are shuffled.
 
 Defined results: null and empty texts hold nothing; an empty benchmark contaminates nothing; repeated
-rows are judged alike; items whose text has no token are ignored; extra columns stay.
+rows are judged alike, and rows that share an id (or have none) together; ``clean`` judges rows without an id by their
+texts; items whose text has no token are ignored; extra columns stay.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
 
-WINDOW, COVER, CONSISTENT, BROADCAST_ROWS = 8, 0.6, 0.8, 500_000
+WINDOW, COVER, CONSISTENT, BROADCAST_ROWS, KEYS = 8, 0.6, 0.8, 500_000, 50_000
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "l", "ml", "s", "ms", "h", "hr", "hrs", "hour", "hours", "min", "minutes", "seconds", "day", "days", "week", "weeks", "year", "years",
          "mile", "miles", "mph", "kmh", "ft", "feet", "inch", "inches", "lb", "lbs", "pound", "pounds", "dollar", "dollars", "euro", "euros", "usd", "eur", "percent", "degree", "degrees")
 
@@ -43,6 +51,11 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\d+(?:[.,:/]\d+)*|[\p{L}\p{M}]+|[.!?\n]+"), F.lit(0))
 
 
+def tokens(text: Column) -> Column:
+    """The words and numbers of raw_tokens()."""
+    return F.regexp_extract_all(text, F.lit(r"\d+(?:[.,:/]\d+)*|[\p{L}\p{M}]+"), F.lit(0))
+
+
 def with_template(df: DataFrame, text: Column) -> DataFrame:
     """Adds _k, hashes of canonical tokens, and _v, the slots' values (null where a token is no slot)."""
     ends = r"^[.!?\n]"
@@ -56,19 +69,56 @@ def with_template(df: DataFrame, text: Column) -> DataFrame:
         .withColumn("_b", F.expr(f"transform(_r, (t, i) -> case when t.num then 1 when get(_r, i - 1).num and t.w in ({units}) then 2 when t.name then 3 else t.h end)"))
         .withColumn("_v", F.expr("transform(_b, (b, i) -> if(b in (1, 2, 3), get(_r, i).h, cast(null as bigint)))"))
         .withColumn("_p", F.col("_r.h"))
+        .withColumn("_n", F.expr("transform(_r, t -> length(t.w))"))
         .drop("_r")
     )
 
 
 def windows(lengths: list[int]) -> Column:
-    """Structs (w, at) of the hashes of all windows of these lengths, in the three forms."""
+    """Structs (w, at) of the hashes of all windows of these lengths that begin at the places _s, in the three forms."""
     parts = [
-        F.expr(f"if(size(_k) >= {n}, transform(sequence(1, size(_k) - {n - 1}), i -> named_struct('w', xxhash64({salt}, slice({of}, i, {n})), 'at', i, 'len', {n})), array())")
+        F.expr(f"transform(filter(_s, i -> i <= size(_k) - {n - 1}), i -> named_struct('w', xxhash64({salt}, slice({of}, i, {n})), 'at', i, 'len', {n}))")
         for n in lengths for of, salt in (("_k", n), ("_b", n), ("_p", -n))
     ]
     return F.concat(*parts)
 
 
+PAIR = "shiftleft({0}, 1) ^ {1}"
+
+
+def keys_of(items: DataFrame, most: int = KEYS) -> dict[str, list[int]] | None:
+    """The hashes of the windows' keys: pair, word and bare (windows that have none); None if there are more than most."""
+    plain = "get(_b, {0} - 1) not in (1, 2, 3)"
+    pair = f"if(j < i + _len - 1 and {plain.format('j')} and {plain.format('j + 1')}, named_struct('k', 2, 'n', get(_n, j - 1) + get(_n, j), 'h', {PAIR.format('get(_p, j - 1)', 'get(_p, j)')}), named_struct('k', 0, 'n', 0, 'h', get(_p, j - 1)))"
+    word = f"if({plain.format('j')}, named_struct('k', 1, 'n', get(_n, j - 1), 'h', get(_p, j - 1)), named_struct('k', 0, 'n', 0, 'h', get(_p, j - 1)))"
+    places = "sequence(i, i + _len - 1)"
+    best = F.expr(f"transform(sequence(1, size(_k) - _len + 1), i -> array_max(concat(transform({places}, j -> {pair}), transform({places}, j -> {word}))))")
+    found = items.select(F.explode(best).alias("w")).select("w.h", "w.k").distinct().limit(most + 1).collect()
+    return None if len(found) > most else {kind: sorted({r["h"] for r in found if r["k"] == k}) for k, kind in enumerate(("bare", "word", "pair"))}
+
+
+def with_starts(docs: DataFrame, keys: dict[str, list[int]] | None, window: int) -> DataFrame:
+    """docs (_id, _t) with _s, the places where windows begin that can be the benchmark's, and without texts that have none."""
+    rows = docs.withColumn("_w", tokens(F.col("_t")))
+    if keys is None:
+        return rows.where(F.size("_w") > 0).withColumn("_s", F.expr("sequence(1, size(_w))")).drop("_w")
+    units = ",".join(f"'{u}'" for u in UNITS)
+    at = "filter(transform({0}, (x, i) -> if({1}, i + 1, 0)), i -> i > 0)"
+    listed = lambda kind: f"x in ({','.join(f'{h}L' for h in keys[kind])})"
+    parts = []
+    if keys["pair"]:
+        parts.append(at.format(f"zip_with(h, slice(h, 2, size(h)), (a, b) -> {PAIR.format('a', 'b')})", listed("pair")))
+    if keys["word"] or keys["bare"]:  # the words of bare windows are keys of the form that has no slots
+        parts.append(at.format("h", " or ".join(listed(k) for k in ("word", "bare") if keys[k])))
+    if keys["bare"]:
+        parts.append(at.format("_w", f"x rlike '^[0-9\\\\p{{Lu}}]' or lower(x) in ({units})"))
+    if not parts:
+        return docs.where("false").withColumn("_s", F.array(F.lit(1)))
+    near = F.expr(f"get(transform(array(transform(_w, x -> xxhash64(lower(x)))), h -> concat({', '.join(parts)})), 0)")
+    starts = F.expr(f"array_distinct(flatten(transform(_at, i -> sequence(greatest(1, i - {window - 1}), i))))")
+    return rows.withColumn("_at", near).where(F.size("_at") > 0).withColumn("_s", starts).drop("_w", "_at")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """(key, item_id, n_windows, n_matched, n_slots, consistency) of the documents that hold an item, the last two of the occurrence that agrees best."""
     items = with_template(benchmark.select("item_id", text_or_empty().alias("_t")), F.col("_t")).drop("_t").where(F.size("_k") > 0)
@@ -83,7 +133,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", win
     total = grams.groupBy("item_id").agg(F.countDistinct("_iw").alias("n_windows"))
     n = grams.count()
     small = (lambda f: F.broadcast(f)) if n <= BROADCAST_ROWS else (lambda f: f)
-    mine = with_template(docs.select(F.col(key).alias("_id"), text_or_empty().alias("_t")), F.col("_t"))
+    near = with_starts(docs.select(F.col(key).alias("_id"), text_or_empty().alias("_t")), keys_of(items), window)
+    mine = with_template(near, F.col("_t"))
     found = cut(  # the matches, which the sums below read
         mine.select("_id", F.explode(windows(lengths)).alias("g"), "_v")
         .select("_id", F.col("g.w").alias("_w"), F.col("g.at").alias("_dat"), F.expr("slice(_v, g.at, g.len)").alias("_dv"))
@@ -119,5 +170,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the contaminated ones."""
-    bad = contaminated(docs, benchmark, key).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    own = F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.concat(F.lit("t"), F.xxhash64(text_or_empty()).cast("string")))
+    bad = contaminated(docs.select(own.alias("_own"), "text"), benchmark, "_own").select(F.col("_own").alias("_bad")).distinct()
+    return docs.join(bad, own == F.col("_bad"), "left_anti")
