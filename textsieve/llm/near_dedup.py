@@ -11,11 +11,13 @@ set similarity 0.8 is a candidate with probability ``1 - (1 - 0.8 ** 5) ** 25``
 
 Classes are connected components of verified links. Copies (equal word sequences) are collapsed before
 anything else, and no bucket is expanded into all its pairs: each bucket's members are first compared
-with its smallest member. Then only buckets that still hold several components matter: if they have at
-most ``SMALL`` members, members of different components are compared, each with each. The members of larger
-ones are joined by their rarest shingles: a set that is similar enough to another shares one of its first
-``n - ceil(SIMILAR n) + 1`` shingles in any common order, at places that leave enough of both sets behind
-them. No pair of the class is lost by that, so that nothing is left to compare afterwards.
+with its most central member (the one whose buckets have the most members in all). Then only buckets that still
+hold several components matter: if they have at most ``SMALL`` members, members of different components are compared,
+each with each. The members of larger ones are joined by their rarest shingles: a set that is similar enough to
+another shares one of its first ``n - ceil(SIMILAR n) + 1`` shingles in any common order, at places that leave enough
+of both sets behind them. The order is by the shingles' counts in a table of ``SLOTS`` counters (4 MB, whatever the
+input); counters that several shingles share make it coarser, never wrong. No pair of the class is lost by that, so
+that nothing is left to compare afterwards.
 
 Defined results: texts without any word (null and empty ones too) are copies of each other; texts of
 fewer than five words have one shingle, all their words; a row with a null id has a null class and takes
@@ -39,7 +41,7 @@ from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK = 5, 0.8, 25, 5, 64, 256
+WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS = 5, 0.8, 25, 5, 64, 256, 1 << 20
 REGISTERS = BANDS * ROWS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -157,13 +159,50 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (mix(s.astype(np.int64).view(np.uint64) + A) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, n): a task's counters."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_slots(_flat(batch.column(0))[0]), minlength=SLOTS)
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], names=["slot", "n"])
+
+
+def _prefixes(counts):
+    """Rows (id, label, n, s, at, df): of each set the rarest shingles that any set as similar must meet, without those that no other has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = _flat(batch.column(2))
+            often = counts.value[_slots(values)]
+            size = np.diff(offsets)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            order = np.lexsort((values, often, row))  # rows stay together
+            at = np.arange(len(values)) - offsets[row] + 1
+            keep = (at <= (size - np.ceil(SIMILAR * size - 1e-9) + 1)[row]) & (often[order] > 1)
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(size[row[keep]]), pa.array(values[order][keep]), pa.array(at[keep]), pa.array(often[order][keep])],
+                names=["id", "label", "n", "s", "at", "df"])
+
+    return run
+
+
 def _rare_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all pairs of large's (id, label) of different labels that can be similar enough, by prefix, length and position; more than those, but not all pairs.
 
     Members of a label with the shingle at the same place are joined in blocks, so that those of the same label are not paired with each other."""
-    rows = large.join(sets, "id").select("id", "label", F.size("s").alias("n"), F.explode("s").alias("s"))
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    prefix = rows.join(often, "s").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))).where(F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1).where("df > 1")
+    kind = dict(large.dtypes)["id"]
+    rows = cut(large.join(sets, "id").select("id", "label", "s"), "large")
+    sums = rows.select("s").mapInArrow(_slot_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[sums.column("slot").to_numpy()] = np.minimum(sums.column("n").to_numpy(), 2**31 - 1)
+    shared = large.sparkSession.sparkContext.broadcast(counts)
+    prefix = rows.mapInArrow(_prefixes(shared), f"id {kind}, label {kind}, n bigint, s bigint, at bigint, df int")
     blocks = prefix.groupBy("s", "label", "n", "at", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).alias("block")).agg(F.collect_list("id").alias("m"))
     several = blocks.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
     blocks = cut(blocks.join(several, "s"), "blocks")
@@ -184,9 +223,11 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     first = signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
     reps = signed.join(first, ["c1", "c2"]).where("id = rep").dropDuplicates(["c1", "c2"])
     members = reps.select(F.explode("bands").alias("bucket"), "id")
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(members.join(hubs, "bucket"), "buckets")  # only of buckets with several members
-    star = cut(members.where("id <> hub").select(*_ordered("id", "hub")).distinct(), "pairs")
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(members.join(several, "bucket"), "buckets")  # only of buckets with several members
+    central = members.join(members.groupBy("id").agg(F.sum("n").alias("_weight")), "id")
+    hubs = central.groupBy("bucket").agg(F.max(F.struct("_weight", "id")).alias("_hub")).select("bucket", F.col("_hub.id").alias("hub"))
+    star = cut(members.join(hubs, "bucket").where("id <> hub").select(*_ordered("id", "hub")).distinct(), "pairs")
     wanted = members.select("id").distinct()
     texts = words.select("id", "text").join(wanted, "id", "left_semi")
     sets = cut(texts.dropDuplicates(["id"]).select("id", word_hashes(F.col("text")).alias("k")).mapInArrow(_sets, f"id {dict(docs.dtypes)[key]}, s array<int>"), "sets")
