@@ -155,6 +155,15 @@ def test_line_dedup_finds_passages_inside_lines(spark):
     assert passage in got[0] and all(passage not in got[i] and len(got[i].split()) == 35 for i in range(1, 6))
 
 
+def test_line_dedup_short_runs_stay(spark):
+    """With a least run, lines that many documents share stay and passages go."""
+    line = "released under the license of this work and of no other"
+    passage = ". ".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(4)) + "."
+    rows = [(i, f"own words {i} alone\n{line}\nmore own words {i}\n{passage}") for i in range(4)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, DOC), min_run=line_dedup.MIN_RUN).collect()}
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (f"own words {i} alone\n{line}\nmore own words {i}\n", 4) for i in range(1, 4))
+
+
 def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup(spark.createDataFrame([], DOC)).count() == 0
     assert line_dedup.dedup(wide(spark, odd_rows())).count() == len(odd_rows())
@@ -390,6 +399,15 @@ def test_spotsigs_ranges(spark, monkeypatch):
     assert got == {rows[i][0]: rows[(i + 1) % 20][1] for i in range(20)}
 
 
+def test_spotsigs_far_id(spark):
+    """One id far from the rest, and ids that are no numbers."""
+    rows = [(i, f"the text {i} says alpha beta {i}") for i in [*range(50), 10**15]]
+    got = {r.doc_id: r._next_text for r in spotsigs.with_next(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {rows[i][0]: rows[(i + 1) % 51][1] for i in range(51)}
+    named = spark.createDataFrame([("b", "the text one"), ("a", "the text two"), (None, "the text none")], "doc_id string, text string")
+    assert {r.doc_id: r._next_text for r in spotsigs.with_next(named).collect()} == {None: "the text two", "a": "the text one", "b": "the text none"}
+
+
 def test_spotsigs_odd_rows(spark):
     made = spotsigs.with_edits(wide(spark, odd_rows())).select("doc_id", "n_chars", spotsigs.fingerprint("_sig").alias("f"), spotsigs.likeness("_sig", "_edited_sig").alias("l")).collect()
     assert len(made) == len(odd_rows()) and {r.f for r in made if r.doc_id in (3, 4)} == {""} and all(0 <= r.l <= 1 for r in made)
@@ -502,6 +520,25 @@ def test_warc_round_trip(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_plain_text_of_open_heads():
+    assert warc.plain_text("<html><head><title>T</title><body><p>text</p></body>") == "text"
+    assert warc.plain_text("<head><title>T</title><p>text</p>") == "text" and warc.plain_text("<head><p>" * 3 + "text") == "text"
+
+
+def test_written_warc_files(spark, tmp_path):
+    """Files hold the records one after another and nothing else; derived records name their source's header and digest."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{'wide ' * i}é\r\n\n</p>", "extra") for i in range(40)] + [(41, None, "", None)], "page_id bigint, url string, html string, label string")
+    source = warc.responses(pages)
+    warc.write_warc(source.unionByName(warc.derivatives(source), allowMissingColumns=True), f"{tmp_path}/w")
+    data = b"".join(gzip.open(f).read() for f in sorted(tmp_path.glob("w/*.gz")))
+    found = list(warc.parse(data))
+    assert len(found) == 3 * 41 and data.endswith(b"\r\n\r\n") and b"\0" not in data and all(f["version"] == "WARC/1.1" for f, _ in found)
+    digests = {f["WARC-Record-ID"]: "sha256:" + hashlib.sha256(b.split(b"\r\n\r\n", 1)[1]).hexdigest() for f, b in found if f["WARC-Type"] == "response"}
+    assert all(f["X-Source-Payload-Digest"] == digests[f["WARC-Refers-To"]] and f["X-Source-HTTP-Header"].startswith("HTTP/1.1 200 OK") for f, _ in found if f["WARC-Type"] != "response")
+
+
 # ---- the pipeline --------------------------------------------------------------------------------
 
 def test_pipeline(spark):
@@ -512,3 +549,30 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontaminate", "sentencepiece"]
     assert 0 < len(made) < len(docs) and len({r.doc_id for r in made}) == len(made)
     assert all(r.doc_id in docs and r.n_chars == len(r.text) <= docs[r.doc_id].n_chars and r.n_ids == len(r.ids) and r.exact for r in made)
+
+
+def test_quality_stage_computes_features_once(spark):
+    """The filter that the optimizer pushes down holds the statistics once."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    assert 0 < count(corpus_pipeline.quality_stage(spark, docs, SF)) <= count(quality.op4_quality(spark, SF))
+
+
+def test_pipeline_stages_odd_rows(spark):
+    """Nulls, empty tables, repeated rows, and columns that have the operators' names."""
+    import corpus_pipeline
+
+    names = ("id", "n", "h", "score", "predicted", "n_removed", "removed", "_bad", "class_id", "kept")
+    docs = spark.createDataFrame(odd_rows(), DOC).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        assert made.columns[:len(docs.columns)] == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+        rows = made.collect()
+        assert all(r[c] == i for r in rows for i, c in enumerate(names)), name
+        kept = [r.doc_id for r in rows]
+        if name == "near_dedup":
+            assert sorted(x for x in kept if x is not None) == [1, 3, 5, 7, 8] and None in kept
+        elif name != "quality":
+            assert len(kept) >= len(odd_rows()) - 4
