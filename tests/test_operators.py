@@ -152,3 +152,21 @@ def test_inline_paths_go_on_while_they_pay(spark):
     for k in reversed(names):
         r_text = re.sub(re.escape(k) + r"(?=/)", names[k], r.text if k == next(reversed(names)) else r_text)
     assert r_text == text
+
+
+def test_ranked_is_dense(spark):
+    """More rows than a range's sample holds, and a second column; a dictionary and its references, written apart, fit together."""
+    from pyspark.sql import functions as F
+
+    from textsieve.operators import reduce
+
+    n = 120_000
+    df = spark.range(n).select(F.xxhash64("id").alias("place"), F.concat(F.lit("value "), F.col("id").cast("string")).alias("value"))
+    made = reduce.ranked(df, F.col("place"))
+    one = made.agg(F.countDistinct("id").alias("d"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("value").alias("n")).first()
+    assert tuple(one) == (n, 0, n - 1, n)
+    lines = spark.range(2 * n).select(F.lit(1).alias("source_id"), F.col("id").alias("line_no"), F.concat(F.lit("a line that repeats "), (F.col("id") % n).cast("string")).alias("line"))
+    tokens, dictionary = reduce.dedup_lines(lines)
+    back = tokens.where("kind = 'ref'").join(dictionary.select("token", F.col("value").alias("line")), tokens["value"] == F.col("token"))
+    wrong = back.where(F.col("line") != F.concat(F.lit("a line that repeats "), (F.col("seq") % n).cast("string")))
+    assert dictionary.select("token").distinct().count() == n == back.count() and wrong.isEmpty()
