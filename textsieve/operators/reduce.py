@@ -27,11 +27,11 @@ def first_seen(df: DataFrame, value: str, *position: str) -> DataFrame:
     return df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*position)).alias("first"))
 
 
-def ranked(df: DataFrame, order: Column | str, out: str = "id", parts: int = 256) -> DataFrame:
+def ranked(df: DataFrame, order: Column | str, out: str = "id", parts: int | None = None) -> DataFrame:
     """Dense numbers from 0 by a unique order, without one task for all rows: range partitions are ranked one by one and shifted by the counts before them.
 
     The dealt rows are written once: the bounds of ranges are drawn from a sample, so that a second evaluation may deal otherwise."""
-    spread = written(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranked")
+    spread = written(df.repartitionByRange(*([parts] if parts else []), order).withColumn("_part", F.spark_partition_id()), "ranked")
     counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
