@@ -499,6 +499,15 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_listed_domains_as_a_frame(spark):
+    """The same verdicts from a frame, of which rows repeat or are null, as from a list."""
+    pages = spark.createDataFrame([(1, "http://a.bad.test/x"), (2, "http://good.test/"), (3, "http://notbad.test/"), (4, None)], "page_id int, url string")
+    listed = spark.createDataFrame([("bad.test",), ("bad.test",), (None,), ("other.test",)], "key string")
+    want = {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, listed=listed).collect()} == want
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, listed=["bad.test", "other.test"]).collect()} == want
+
+
 # ---- web archives --------------------------------------------------------------------------------
 
 def test_plain_text():

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -175,23 +175,26 @@ def listed_by_join(rows: DataFrame, keys: str, listed: DataFrame, out: str) -> D
     return one.join(hit, "row_key", "left").withColumn(out, F.transform(keys, lambda k: F.coalesce(F.array_contains("hit", k), F.lit(False)))).drop("hit", "row_key")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] = LISTED, url: str = "url") -> DataFrame:
-    """Adds host, path, rule and verdict to pages. The longest rule that fits decides; else a listed host is blocked."""
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] | DataFrame = LISTED, url: str = "url") -> DataFrame:
+    """Adds host, path, rule and verdict to pages (columns of these names are replaced). The longest rule that fits decides; else a listed host is blocked.
+
+    listed: the domains, or a frame with them in a string column key, which never passes the driver as a whole unless its cascade is within the bound."""
     if any(not p.endswith("/") or not p.startswith("/") for _, _, p in rules):
         raise ValueError("a rule's path starts and ends with a slash")
     spark = pages.sparkSession
     depth = max([p.count("/") for _, _, p in rules], default=1)
     rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    distinct_keys = rows.select("host", "path").select(F.explode(candidates(F.col("host"), F.col("path"), depth)).alias("key")).distinct()
-    distinct_hosts = rows.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key")).distinct()
+    # the universes are read for each list; they are made once
+    distinct_keys = cut(rows.select("host", "path").select(F.explode(candidates(F.col("host"), F.col("path"), depth)).alias("key")).distinct(), "keys")
+    distinct_hosts = cut(rows.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key")).distinct(), "hosts")
     lists = {
         "allow": [h + p for v, h, p in rules if v == "allow"],
         "block": [h + p for v, h, p in rules if v == "block"],
-        "hosts": list(listed),
+        "hosts": listed if isinstance(listed, DataFrame) else list(listed),
     }
     rows = rows.withColumns({"_keys": candidates(F.col("host"), F.col("path"), depth), "_hosts": host_suffixes(F.col("host"))})
     for name, keys in lists.items():
-        listing = spark.createDataFrame([(k,) for k in keys], "key string")
+        listing = keys.select("key") if isinstance(keys, DataFrame) else spark.createDataFrame([(k,) for k in keys], "key string")
         levels = build_cascade(listing, distinct_hosts if name == "hosts" else distinct_keys)
         column = "_hosts" if name == "hosts" else "_keys"
         if levels is None:
