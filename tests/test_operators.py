@@ -99,6 +99,45 @@ def test_drain():
     assert templates.template_regex(["took", "<*>", "12"]) == r"took\s+(.*?)\s+[0-9]+"
 
 
+def drain(messages, children=100):
+    """Message by message: the tree of nodes, then the nearest template of the leaf."""
+    nodes, leaves = {}, {}
+    for place, line in messages:
+        toks = [t for t in re.split(r"[ =,:;\[\]()]", line) if t]
+        if len(toks) < 2:
+            continue
+        at = (len(toks),)
+        for t in toks[1:4]:
+            t = "<*>" if re.search("[0-9]", t) else t
+            known = nodes.setdefault(at, [])
+            if t not in known:
+                if len(known) >= children:
+                    t = "<*>"
+                if t not in known:
+                    known.append(t)
+            at = (*at, t)
+        near = [(sum(a == b for a, b in zip(c["toks"], toks, strict=True)) / len(toks), -i) for i, c in enumerate(leaves.setdefault(at, []))]
+        best = max(near, default=(0, 0))
+        if best[0] >= 0.5:
+            c = leaves[at][-best[1]]
+            c["toks"], c["n"] = [a if a == b else "<*>" for a, b in zip(c["toks"], toks, strict=True)], c["n"] + 1
+        else:
+            leaves[at].append({"toks": toks, "n": 1, "first": place})
+    return sorted((" ".join(c["toks"]), c["n"], *c["first"]) for x in leaves.values() for c in x)
+
+
+def test_drain_message_by_message(spark):
+    """The sample log, and messages whose templates change while others repeat."""
+    from textsieve.plans.views import log_view
+
+    rng = random.Random(5)
+    made = [(k, n, " ".join(["start", rng.choice("ab"), "x", "y", *[rng.choice("pqr") for _ in range(4)]])) for k in range(2) for n in range(1, 400)]
+    for df in (log_view(spark, "/root/testdata/sf0.001"), spark.createDataFrame(made, "source_id bigint, line_no bigint, line string")):
+        rows = sorted((r.source_id, r.line_no, r.line) for r in df.collect())
+        got = templates.mine(df).select(F.array_join("template", " "), "size", "first_source", "first_line").collect()
+        assert sorted(map(tuple, got)) == drain([((s, n), x) for s, n, x in rows])
+
+
 def test_drain_children_limit(spark):
     df = templates.with_leaf(lines(spark, "\n".join(f"m {chr(97 + i // 26)}{chr(97 + i % 26)} end" for i in range(103)) + "\none"))
     leaves = {r.line_no: r.leaf for r in df.collect()}

@@ -173,9 +173,22 @@ def truncate_values(text: Column, most: int = 100) -> Column:
     return F.when(F.octet_length(own) > most, F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(own)), F.substring(own, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(text)
 
 
-def mask_hex(text: Column) -> Column:
-    """NRM-14: runs of 32 hex digits or more."""
-    return F.regexp_replace(F.regexp_replace(text, "[0-9a-fA-F]{129,}", "[HEX_DUMP]"), "[0-9a-fA-F]{32,128}", "[HEX]")
+# A word of hex digits; longer ones than a dictionary takes are only counted.
+HEX, HEX_DUMP = r"\b[0-9a-fA-F]{32,}\b", 128
+
+
+def hex_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(HEX), F.lit(0))
+
+
+def mask_hex(text: Column, tokens: Column | None = None) -> Column:
+    """NRM-14: words of more than 128 hex digits become their length; shorter ones, from 32 on, what tokens (a map) has for them."""
+    def shown(x: Column) -> Column:
+        short = x if tokens is None else F.coalesce(F.element_at(tokens, x), x)
+        return F.when(F.length(x) > HEX_DUMP, F.concat(F.lit("[HEX_DUMP: "), F.length(x).cast("string"), F.lit(" chars]"))).otherwise(short)
+
+    between, words = F.split(text, HEX, -1), hex_words(text)
+    return F.when(F.size(words) == 0, text).otherwise(F.array_join(F.zip_with(between, words, lambda a, x: F.concat(a, F.coalesce(shown(x), F.lit("")))), ""))
 
 
 def binary_marker(text: Column) -> Column:

@@ -163,7 +163,7 @@ def ranking(df: DataFrame, key: str, text: str, formats: list[Format], top: int
 
 def match_share(text: Column, patterns: list[str], least: float = 0.15) -> Column:
     """RTE-05: more than ``least`` of the first 20 lines fit a pattern."""
-    head = F.slice(F.split(text, "\n"), 1, 20)
+    head = F.slice(F.split(text, "\n", 21), 1, 20)
     return F.size(F.filter(head, lambda x: x.rlike("|".join(f"(?:{p})" for p in patterns)))) / F.size(head) > least
 
 

@@ -38,7 +38,7 @@ class Format:
 
 def share(text: Column, pattern: str, lines: int) -> Column:
     """The share of a text's first lines that fit a pattern."""
-    head = F.filter(F.slice(F.split(text, "\n"), 1, lines), lambda x: F.trim(x) != "")
+    head = F.filter(F.slice(F.split(text, "\n", lines + 1), 1, lines), lambda x: F.trim(x) != "")  # the rest of the text is not split
     return F.size(F.filter(head, lambda x: x.rlike(pattern))) / F.greatest(F.size(head), F.lit(1))
 
 
@@ -86,8 +86,9 @@ def fold_runs(lines: DataFrame, member: Column, least: int, label: str) -> DataF
 def keep_first(records: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` records of each group, and the counts of the rest."""
     w = Window.partitionBy("source_id", *by).orderBy("line_no")
-    df = records.withColumn("_r", F.row_number().over(w))
-    return df.where(F.col("_r") <= most).drop("_r"), df.where(F.col("_r") > most).groupBy("source_id", *by).agg(F.count(F.lit(1)).alias("more"))
+    kept = records.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")  # the limit reaches the rows before their shuffle
+    more = records.groupBy("source_id", *by).agg((F.count(F.lit(1)) - most).alias("more")).where("more > 0")
+    return kept, more
 
 
 def blocks(lines: DataFrame, head: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions import normalize as N
-from .. import filters, scan
+from .. import filters, reduce, scan
 from . import engine
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,7 +54,12 @@ def stacks(lines: DataFrame, head: str, frame: str) -> DataFrame:
     s = inside.groupBy("source_id", "block").agg(
         F.min("line_no").alias("line_start"), F.count_if(F.col("line").rlike(frame)).alias("n_frames"), F.min_by("line", "line_no").alias("exception"),
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("l")))), lambda x: x["l"]), "\n")).alias("digest"))
-    return s.withColumn("copy", F.row_number().over(Window.partitionBy("digest").orderBy("source_id", "block")))
+    # copies are numbered within a source, and a source hands on its count
+    counts = s.groupBy("digest", "source_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("digest").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("digest", "source_id", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = s.withColumn("_r", F.row_number().over(Window.partitionBy("digest", "source_id").orderBy("block")))
+    return own.join(starts, ["digest", "source_id"]).withColumn("copy", (F.col("_start") + F.col("_r")).cast("int")).select(*s.columns, "copy")
 
 
 def truncate_frames(lines: DataFrame, head: str, frame: str, most: int = 20) -> DataFrame:
@@ -131,7 +136,7 @@ def ansi_report(text: Column) -> Column:
 
 def noise(lines: DataFrame) -> DataFrame:
     """PLG-12: long hex masked, runs of more than five noise lines folded."""
-    return engine.fold_runs(lines.withColumn("line", N.mask_hex(F.col("line"))), filters.is_noise(F.col("line")), 5, "[%d noise lines]")
+    return engine.fold_runs(reduce.hex_dictionary(lines)[0], filters.is_noise(F.col("line")), 5, "[%d noise lines]")
 
 
 def javadoc(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import normalize as N
 from .store import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,6 +82,17 @@ def layered(paths: DataFrame, path: str, *position: str) -> tuple[DataFrame, Dat
     return out.withColumn("layered", F.when(F.col("token").isNotNull(), F.concat("token", sep, leaf(F.col(path)))).otherwise(F.col(path))).drop("_dir", "token"), dirs
 
 
+def hex_dictionary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NRM-14 with its dictionary: lines with long hex words as references or lengths, and the dictionary of the words."""
+    found = lines.select("source_id", "line_no", F.posexplode(N.hex_words(F.col("line"))).alias("pos", "word")).where(F.length("word") <= N.HEX_DUMP)
+    words = dictionary_of(found, "word", "path", "source_id", "line_no", "pos")
+    own = found.join(words.select(F.col("value").alias("word"), "token"), "word").select("source_id", "line_no", "word", "token").distinct()
+    maps = own.groupBy("source_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("word", "token"))).alias("_m"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    out = lines.join(maps, ["source_id", "line_no"], "left")
+    return out.withColumn("line", N.mask_hex(F.col("line"), F.coalesce("_m", none))).drop("_m"), words
+
+
 def paths_in(lines: DataFrame, pattern: str = PATH) -> DataFrame:
     """RED-08/09: (source_id, line_no, pos, path) of what looks like a path; never in diff headers, after a scheme, or with ``@();=``."""
     from .filters import is_diff_header
@@ -118,7 +130,7 @@ def common_prefixes(paths: DataFrame, path: str = "path", least: int = 20, uses:
     return hierarchy(paths, path).where((F.length("prefix") > least) & (F.col("n") >= uses)).orderBy(F.desc(F.length("prefix")), "prefix").limit(top)
 
 
-def directories(paths: DataFrame, path: str = "path", busy: int = 10, gap: int = 15, depth: int = 64) -> DataFrame:
+def directories(paths: DataFrame, path: str = "path", busy: int = 10, gap: int = 15) -> DataFrame:
     """RED-11: (token, value): anchors of the path tree, numbered depth first.
 
     A node is an anchor if more than one of its children has more than ``busy`` paths (or it is a leaf with more than
@@ -130,7 +142,7 @@ def directories(paths: DataFrame, path: str = "path", busy: int = 10, gap: int =
     nodes = heavy.join(busy_children, "prefix", "left").select("prefix", "parent", ((F.coalesce("busy", F.lit(0)) > 1) | (F.col("children") == 0)).alias("ok"), (F.size(F.split("prefix", "/")) - 1).alias("level")).persist()
     levels = nodes.agg(F.max("level")).first()[0] or 0
     state, anchors = None, None
-    for k in range(1, min(levels, depth) + 1):
+    for k in range(1, levels + 1):
         here = nodes.where(F.col("level") == k)
         here = here.withColumn("above", F.lit(0)) if state is None else here.join(state.select(F.col("prefix").alias("parent"), F.col("at").alias("above")), "parent", "left").withColumn("above", F.coalesce("above", F.lit(0)))
         here = here.withColumn("anchor", F.col("ok") & (F.length("prefix") - F.col("above") > gap)).withColumn("at", F.when(F.col("anchor"), F.length("prefix")).otherwise(F.col("above")))
@@ -261,5 +273,8 @@ def render_tree(paths: list[str], ascii_only: bool = False) -> str:
 
 def trees(df: DataFrame, source: str, path: str, least: int = 4) -> DataFrame:
     """RED-20 for each source that lists ``least`` files or more in a shared directory."""
-    draw = F.udf(render_tree, T.StringType())
+    @F.pandas_udf(T.StringType())
+    def draw(files: pd.Series) -> pd.Series:
+        return files.map(lambda f: render_tree(list(f)))
+
     return df.groupBy(source).agg(F.array_sort(F.collect_set(path)).alias("files")).where(F.size("files") >= least).select(source, F.size("files").alias("n_files"), draw("files").alias("tree"))

@@ -2,9 +2,9 @@
 
 The leaf that a message falls into depends on its token count and its second to fourth tokens only, up
 to the limit of 100 children of a node, which is settled for all nodes of a level at once by ranking the
-children by first appearance. Inside a leaf templates evolve with the messages' order; each leaf is one
-group, and a leaf's messages are first collapsed to distinct token sequences where that cannot change the
-result (a sequence that was already taken into the same template matches it again).
+children by first appearance. Inside a leaf templates evolve with the messages' order, so a leaf is read
+as a sorted stream that keeps the templates only. A sequence that was taken into a template is taken into
+it again without a search as long as no template of the leaf has changed.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed values.
 DELIMITERS, DEPTH, SIMILAR, CHILDREN = r"[ =,:;\[\]()]", 4, 0.5, 100
 WILD = "<*>"
+TIMES = (r"^\[?[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.0-9]*Z?\]?[ \t]*", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}[ \t]+[0-9]{2}:[0-9]{2}:[0-9]{2}[ \t]*")
 
 
 def tokens(line: Column) -> Column:
@@ -45,37 +46,81 @@ def with_leaf(lines: DataFrame, children: int = CHILDREN) -> DataFrame:
     return df
 
 
-def grow(messages: list[tuple[list[str], int, object]]) -> list[tuple[list[str], int, object, list[int]]]:
-    """DRN-03 in one leaf: (template, size, first place) and the messages' indexes, in order."""
-    clusters: list[list] = []
-    for n, (toks, weight, place) in enumerate(messages):
+KNOWN = 100_000  # sequences that a leaf remembers; beyond it they are searched for again
+
+
+class Leaf:
+    """DRN-03: the templates of one leaf, as [template, size, first place]; messages come in order."""
+
+    def __init__(self):
+        self.clusters: list[list] = []
+        self.known: dict[tuple, list] = {}
+
+    def add(self, toks: tuple, weight: int, place: object) -> None:
+        hit = self.known.get(toks)
+        if hit is None:
+            hit = self._find(toks, place)
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[toks] = hit
+        hit[1] += weight
+
+    def _find(self, toks: tuple, place: object) -> list:
         best, most = None, -1.0
-        for c in clusters:
+        for c in self.clusters:
             if len(c[0]) != len(toks):
                 continue
             sim = sum(a == b for a, b in zip(c[0], toks, strict=True)) / len(toks)
             if sim >= SIMILAR and sim > most:
                 best, most = c, sim
         if best is None:
-            clusters.append([list(toks), weight, place, [n]])
+            best = [list(toks), 0, place]
+            self.clusters.append(best)
+            self.known.clear()
         else:
-            best[0] = [a if a == b else WILD for a, b in zip(best[0], toks, strict=True)]
-            best[1] += weight
-            best[3].append(n)
-    return [tuple(c) for c in clusters]
+            merged = [a if a == b else WILD for a, b in zip(best[0], toks, strict=True)]
+            if merged != best[0]:
+                best[0] = merged
+                self.known.clear()  # another template may now be the nearest one
+        return best
+
+
+def grow(messages: list[tuple[list[str], int, object]]) -> list[tuple[list[str], int, object]]:
+    """DRN-03 for messages in order: (template, size, first place)."""
+    leaf = Leaf()
+    for toks, weight, place in messages:
+        leaf.add(tuple(toks), weight, place)
+    return [tuple(c) for c in leaf.clusters]
 
 
 def mine(lines: DataFrame) -> DataFrame:
     """DRN-03: (template, size, first_source, first_line) of all leaves."""
     own = with_leaf(lines).where("leaf is not null").select("leaf", "toks", "source_id", "line_no")
 
-    def leaf(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["source_id", "line_no"], kind="stable")
-        found = grow([(list(t), 1, (s, n)) for t, s, n in zip(df.toks, df.source_id, df.line_no, strict=True)])
-        return pd.DataFrame([(list(t), size, first[0], first[1]) for t, size, first, _ in found], columns=["template", "size", "first_source", "first_line"])
+    def frame(leaf: Leaf | None) -> pd.DataFrame:
+        rows = [(t, size, *first) for t, size, first in leaf.clusters] if leaf else []
+        return pd.DataFrame(rows, columns=["template", "size", "first_source", "first_line"])
+
+    def leaves(batches):
+        name, leaf = None, None
+        for df in batches:
+            for key, toks, source, line in zip(df.leaf, df.toks, df.source_id, df.line_no, strict=True):
+                if key != name:
+                    yield frame(leaf)
+                    name, leaf = key, Leaf()
+                leaf.add(tuple(toks), 1, (source, line))
+        yield frame(leaf)
 
     kind = dict(lines.dtypes)["source_id"]
-    return own.groupBy("leaf").applyInPandas(leaf, f"template array<string>, size bigint, first_source {kind}, first_line bigint")
+    dealt = own.repartition("leaf").sortWithinPartitions("leaf", "source_id", "line_no")
+    return dealt.mapInPandas(leaves, f"template array<string>, size bigint, first_source {kind}, first_line bigint")
+
+
+def without_time(line: Column) -> Column:
+    """DRN-04: messages without the time that they begin with."""
+    for p in TIMES:
+        line = F.regexp_replace(line, p, "")
+    return line
 
 
 def top_templates(templates: DataFrame, least: int = 6, n: int = 20) -> DataFrame:

@@ -92,25 +92,33 @@ def _mojibake(spark, sf):
     return docs(spark, sf).select("doc_id", ingest.is_mojibake(F.col("text")).alias("mojibake"))
 
 
-@query("decode_fallback")
+@query("decode_fallback", """select doc_id, case when doc_id % 2 = 0 or length(coalesce(text, '')) < 2 then 'utf-8' else 'utf-16-le' end as encoding,
+case when text is null then 0 when doc_id % 2 = 1 and length(text) = 1 then 2 else length(text) end as n from documents""")
 def _decode(spark, sf):
     own = docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE")).alias("data"))
     return own.withColumn("d", ingest.decode("data")).select("doc_id", "d.encoding", F.length("d.text").alias("n"))
 
 
-@query("probable_binary")
+# A control character is put before every word of some documents, and a NUL before every letter of others.
+@query("probable_binary", """with t as (select doc_id, case doc_id % 5 when 0 then regexp_replace(text, '[a-z]', chr(1) || '\\0', 'g') when 1 then replace(text, ' ', ' ' || chr(2)) else text end as text from documents),
+b as (select doc_id, string_split(rtrim(regexp_replace(hex(encode(text))[1:16384], '(..)', '\\1 ', 'g')), ' ') as b from t)
+select doc_id, coalesce(b[1] <> '' and len(list_filter(b, lambda x: x < '20' and x not in ('00', '09', '0A', '0D'))) >= 0.22 * len(b), false) as binary from b""")
 def _probable_binary(spark, sf):
-    return docs(spark, sf).select("doc_id", ingest.is_probable_binary(F.encode("text", "UTF-8")).alias("binary"))
+    t = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "([a-z])", "\u0001$1")).when(F.col("doc_id") % 5 == 1, F.replace("text", F.lit(" "), F.lit(" \u0002"))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", ingest.is_probable_binary(F.encode(t, "UTF-8")).alias("binary"))
 
 
-@query("mojibake_repair")
+# Read as ISO 8859-1, a character of one of these ranges leaves one marker behind, a replacement character one as well.
+@query("mojibake_repair", f"""with m as (select doc_id, coalesce(text, '') as text, len(regexp_extract_all(text, '[\\x{{80}}-\\x{{FF}}\\x{{400}}-\\x{{47F}}\\x{{FFFD}}]')) as bad, len(regexp_extract_all(text, '{ingest.MARKERS}')) + 2 * len(regexp_extract_all(text, '\\x{{FFFD}}')) as good from documents),
+g as (select *, coalesce(bad - good, 0) as gain from m)
+select doc_id, cast(case when gain > 0 then length(text) else strlen(text) end as bigint) as n, case when gain >= 5 then 'high' when gain >= 2 then 'medium' else 'low' end as confidence from g""")
 def _repair(spark, sf):
     own = docs(spark, sf).select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("bad"))
     fixed = own.withColumn("text", ingest.repair("bad"))
     return fixed.select("doc_id", F.length("text").alias("n"), ingest.repair_confidence(F.col("bad"), F.col("text")).alias("confidence"))
 
 
-@query("session_commands")
+@query("session_commands", "select conv_id as source_id, 1 as seq, 'git show ' || role as command, strlen(text) as output_bytes from conversations")
 def _session(spark, sf):
     conv = ingest.table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.array(F.struct(F.concat(F.lit("git show "), "role").alias("command"), F.octet_length("text").cast("bigint").alias("output_bytes")))).alias("text"))
     return ingest.session_commands(conv, "conv_id").select("source_id", "seq", "command", "output_bytes")
@@ -450,7 +458,8 @@ def _mine(spark, sf):
 
 @query("template_topn")
 def _topn(spark, sf):
-    return templates.top_templates(templates.mine(log_view(spark, sf)))
+    own = log_view(spark, sf).where(F.trim("line") != "").withColumn("line", templates.without_time(F.col("line")))
+    return templates.top_templates(templates.mine(own))
 
 
 # ---- normalisation -------------------------------------------------------------------------------
@@ -483,9 +492,19 @@ def _top_routes(spark, sf):
     return reorder.top_counts(ingest.table(spark, sf, "pages").select(N.normalize_route(F.col("url")).alias("route")), "route", 10)
 
 
-@query("hex_mask", "select doc_id, regexp_replace(regexp_replace(text, '[0-9a-fA-F]{129,}', '[HEX_DUMP]', 'g'), '[0-9a-fA-F]{32,128}', '[HEX]', 'g') as text from documents")
+@query("hex_mask", """select doc_id, 'sum ' || sha256(coalesce(text, '')) || ': ' || case when doc_id % 3 = 0 then '[HEX_DUMP: ' || 4 * 64 || ' chars]' else sha256(coalesce(text, '')) || 'x' end || '.' as text from documents""")
 def _hex(spark, sf):
-    return docs(spark, sf).select("doc_id", N.mask_hex(F.col("text")).alias("text"))
+    h = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    t = F.concat(F.lit("sum "), h, F.lit(": "), F.when(F.col("doc_id") % 3 == 0, F.repeat(h, F.lit(4))).otherwise(F.concat(h, F.lit("x"))), F.lit("."))
+    return docs(spark, sf).select("doc_id", N.mask_hex(t).alias("text"))
+
+
+@query("hex_dictionary", """with h as (select doc_id, sha256(coalesce(text, '')) as h from documents), d as (select h, row_number() over (order by min(doc_id)) - 1 as id from h group by h)
+select doc_id as source_id, 'sum $P' || id || ' of ' || strlen(h.h) * 3 || case when doc_id % 2 = 0 then ' [HEX_DUMP: 192 chars]' else '' end as line from h join d using (h)""")
+def _hex_dictionary(spark, sf):
+    h = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    own = F.concat(F.lit("sum "), h, F.lit(" of 192"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.repeat(h, F.lit(3)))).otherwise(""))
+    return reduce.hex_dictionary(docs(spark, sf).select(F.col("doc_id").alias("source_id"), F.lit(1).cast("bigint").alias("line_no"), own.alias("line")))[0].select("source_id", "line")
 
 
 @query("binary_marker", "select doc_id, '[BINARY_DATA: Size=' || strlen(text) || 'B, MD5=' || left(md5(text), 8) || ']' as marker from documents")
@@ -616,7 +635,10 @@ def _web_tokens(spark, sf):
     return web.agent_tokens(access_view(spark, sf))
 
 
-@query("web_ip_tokens")
+@query("web_ip_tokens", f"""with {_WEB}, s as (select ip, ua, count(*) as targets, count(distinct route) as routes, count(*) filter (regexp_matches(lower(route), '\\.env|wp-|wp/|admin|config|backup|phpmyadmin|\\.git|passwd|secret')) as sensitive
+ from k where status in ('403', '404') group by ip, ua having targets >= 5 and (routes >= 4 or sensitive >= 2) order by ip || '|' || ua limit 1),
+c as (select ip, count(*) as n from k group by ip order by n desc, ip limit 10), p as (select c.ip, n, s.ip is not null as atk from c left join s on c.ip = s.ip)
+select ip, n, case when atk then '$IP_ATK' else '$IP' || sum(case when atk then 0 else 1 end) over (order by n desc, ip) end as token from p""")
 def _web_ips(spark, sf):
     return web.ip_tokens(access_view(spark, sf))
 

@@ -683,11 +683,14 @@ def _diagnosis(spark, sf):
     return spark.createDataFrame([(d["code"],) for d in rules.diagnose(rule, text(spark, "y"))], "code string")
 
 
-@query("session_windows")
+@query("session_windows", """with p as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+s as (select user_id, ts, sum(case when before is null or ts > before + interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from p)
+select min(ts) as start, max(ts) + interval 30 minute as "end", user_id, count(*) as n from s group by user_id, k""")
 def _sessions(spark, sf):
     from ..streaming import stream
 
-    return stream.sessions(spark.read.parquet(f"{sf}/events.parquet"))
+    out = stream.sessions(spark.read.parquet(f"{sf}/events.parquet"))
+    return out.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("start", "end")})
 
 
 @query("longest_first", values("value", ("ccc",), ("bb",), ("a",)))

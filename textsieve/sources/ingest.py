@@ -10,10 +10,12 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import scan
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SNIFF = 8192
@@ -51,11 +53,11 @@ def lines(df: DataFrame, source: str, text: str = "text") -> DataFrame:
 
 def lines_with_offsets(df: DataFrame, source: str, text: str = "text") -> DataFrame:
     """ING-05 with the byte offset of each line in its source."""
-    raw = df.select(F.col(source).alias("source_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))).select("source_id", "pos", "col")
-    w = Window.partitionBy("source_id").orderBy("pos")
-    out = raw.withColumn("offset", F.coalesce(F.sum(F.octet_length("col") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
-    out = out.withColumn("last", F.lead("pos").over(w).isNull()).where(~(F.col("last") & (F.col("col") == "")))
-    return out.select("source_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "offset", F.regexp_replace("col", r"\r\z", "").alias("line"))
+    parts = df.select(F.col(source).alias("source_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("p"))
+    raw = parts.select("source_id", (F.size("p") - 1).alias("end"), F.posexplode("p")).where((F.col("pos") < F.col("end")) | (F.col("col") != ""))
+    size = F.octet_length("col") + 1
+    out = scan.running_sum(raw, size, "through", ["source_id"], "pos")
+    return out.select("source_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), (F.col("through") - size).cast("bigint").alias("offset"), F.regexp_replace("col", r"\r\z", "").alias("line"))
 
 
 def blocks(df: DataFrame, source: str, size: int, text: str = "text") -> DataFrame:
@@ -77,11 +79,10 @@ def chunks(df: DataFrame, target: int) -> DataFrame:
 
     A chunk ends at the first anchor after each multiple of ``target`` bytes. Anchors own the lines up to the next one,
     so that the running sums go over records and not over characters."""
-    w = Window.partitionBy("source_id").orderBy("line_no")
-    size = F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    head = F.when(is_anchor(F.col("line")), F.coalesce(size, F.lit(0)))
-    at = F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("chunk_no", F.floor(F.coalesce(at, F.lit(0)) / target).cast("bigint"))
+    size = F.octet_length("line") + 1
+    sums = scan.running_sum(df, size, "_through", ["source_id"])
+    heads = scan.forward_fill(sums, F.when(is_anchor(F.col("line")), F.col("_through") - size), "_head", ["source_id"])
+    return heads.withColumn("chunk_no", F.floor(F.coalesce("_head", F.lit(0)) / target).cast("bigint")).drop("_through", "_head")
 
 
 def is_binary(data: Column) -> Column:
