@@ -317,6 +317,47 @@ def test_rebalance_moves_little():
     assert max(load) - min(load) <= 50
 
 
+def test_sharding_recomputed(spark):
+    """Sizes, checksums and places against Python's own; every row's shard is the one the stored map gives its slot."""
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = sharding.op5_sharding(spark, SF).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "bytes", None) for i, t in texts.items()}
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows)
+    owner = {}
+    for r in rows:
+        assert owner.setdefault(r.vslot, r.shard) == r.shard
+
+
+def test_sharding_edits_the_stored_map(spark, tmp_path):
+    """Three runs over one store: more documents, then one more shard, then one fewer; only records of edited slots move."""
+    store = str(tmp_path / "map")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = docs.unionByName(docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+
+    def run(df, shards):
+        rows = sharding.assign(df, shards, store=store).collect()
+        total, places = [0] * shards, [[] for _ in range(shards)]
+        for r in rows:
+            total[r.shard] += r["size"]
+            places[r.shard].append(r.slot)
+        assert all(sorted(p) == list(range(len(p))) for p in places)
+        assert max(total) - min(total) <= 0.03 * sum(total) / shards
+        return {r.doc_id: r.shard for r in rows}, max(r.map_version for r in rows)
+
+    first, v1 = run(docs, 40)
+    again, v2 = run(docs, 40)
+    assert first == again and v1 == v2 == 2  # nothing to edit, no new version
+    second, v3 = run(more, 40)
+    assert v3 == 3 and sum(first[i] != second[i] for i in first) < 0.25 * len(first)
+    third, v4 = run(more, 41)
+    assert v4 == 4 and set(third.values()) == set(range(41)) and sum(second[i] != third[i] for i in second) < 0.25 * len(second)
+    fourth, v5 = run(more, 39)
+    assert v5 == 5 and max(fourth.values()) == 38
+    assert sharding.last_version(spark, store) == 5 and sharding.load_map(spark, store, 3).count() == sharding.SLOTS
+
+
 def test_sharding_odd_rows(spark):
     rows = sharding.assign(wide(spark, odd_rows())).collect()
     assert len(rows) == len(odd_rows())

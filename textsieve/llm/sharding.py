@@ -2,8 +2,10 @@
 
 Every record is hashed into one of ``SLOTS`` virtual slots, a number that never changes. Bytes are
 summed for each slot, and a map from slots to shards is stored, with a version for each edit: version
-1 deals the slots out in turn, version 2 is edited so that the shards' bytes are near equal. A record
-moves only if its slot does. Law: ``bytes``.
+1 deals the slots out in turn; every run loads the last version, edits it so that the shards' bytes are
+near equal (or for another number of shards) and stores it as the next, if that changes anything. A
+record moves only if its slot does. Law: ``bytes``. A store has one writer at a time; a version is whole
+or not there, since its one file appears when its job is committed.
 
 The map and the sums have SLOTS rows whatever the input, and only they reach the driver; records are
 never gathered. A row's place in its shard is the count of the shard's rows in earlier (slot, part)
@@ -22,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import int_array, shared_dir, table, text_or_empty
+from .common import cut, int_array, shared_dir, table, text_or_empty
 
 SLOTS, PARTS, SHARDS, OVERHEAD = 4096, 16, 40, 16
 
@@ -44,10 +46,13 @@ def rebalance(owner: list[int], size: list[int], shards: int, steps: int = 20_00
     """The edited map: full shards give up slots, which go to the emptiest, largest first; then slots are moved or swapped between the fullest and the emptiest shard while that lessens their difference."""
     owner, total = list(owner), [0] * shards
     held: list[list[int]] = [[] for _ in range(shards)]
+    mean, pool = sum(size) / shards, []
     for s, k in enumerate(owner):
+        if k >= shards:  # a shard that is no more
+            pool.append(s)
+            continue
         total[k] += size[s]
         held[k].append(s)
-    mean, pool = sum(size) / shards, []
     for k in range(shards):
         held[k].sort(key=lambda s: (size[s], s))
         while held[k] and total[k] > mean:
@@ -98,19 +103,45 @@ def map_frame(spark: SparkSession, owner: list[int], version: int) -> DataFrame:
     )
 
 
-def store_maps(spark: SparkSession, versions: dict[int, list[int]], path: str | None = None) -> str:
-    path = path or f"{shared_dir(spark)}/textsieve/slotmap-{uuid.uuid4().hex}"
-    for v, owner in versions.items():
-        map_frame(spark, owner, v).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
-    return path
+def store_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
+    map_frame(spark, owner, version).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema("vslot int, shard int, version int").parquet(path).where(F.col("version") == version)
-
-
-def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
-    """(key, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version) for every row."""
+    return spark.read.schema("vslot int, shard int").parquet(f"{path}/version={version}")
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """0 if nothing is stored; versions without a committed job do not count."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    v = 0
+    while fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v + 1}/_SUCCESS")):
+        v += 1
+    return v
+
+
+def edit(spark: SparkSession, path: str, size: list[int], shards: int) -> int:
+    """Stores the next version of the map under path, near equal for these sizes of slots; returns the version that holds."""
+    v = last_version(spark, path)
+    if v == 0:
+        store_map(spark, path, 1, first_map(shards))
+        v = 1
+    owner = [0] * SLOTS
+    for r in load_map(spark, path, v).collect():  # SLOTS rows
+        owner[r["vslot"]] = r["shard"]
+    edited = rebalance(owner, size, shards)
+    if edited != owner:
+        v += 1
+        store_map(spark, path, v, edited)
+    return v
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", store: str | None = None) -> DataFrame:
+    """(key, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version) for every row; other columns of docs go.
+
+    store is the folder of the map's versions, on storage that all nodes share. Without one the map begins anew, so
+    that the result depends on docs alone."""
     spark = docs.sparkSession
     h = record_hash(key)
     rows = docs.select(
@@ -119,13 +150,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFr
     )
     # SLOTS * PARTS rows, whatever the input
     cells = rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    cells = cells.persist()
+    cells = cut(cells, "cells")
     size = [0] * SLOTS
     for r in cells.groupBy("vslot").agg(F.sum("bytes").alias("b")).collect():
         size[r["vslot"]] = r["b"]
-    v1 = first_map(shards)
-    path = store_maps(spark, {1: v1, 2: rebalance(v1, size, shards)})
-    current = F.broadcast(load_map(spark, path, 2))
+    store = (store or f"{shared_dir(spark)}/textsieve/slotmap-{uuid.uuid4().hex}").rstrip("/")
+    version = edit(spark, store, size, shards)
+    current = F.broadcast(load_map(spark, store, version))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.join(current, "vslot").select("vslot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy(key, "text_crc32", "size"))
@@ -133,7 +164,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFr
         rows.withColumn("rank", rank)
         .join(F.broadcast(starts), ["vslot", "part"])
         .select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("bigint").alias("slot"),
-                F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(2).alias("map_version"))
+                F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version"))
     )
 
 
