@@ -209,3 +209,36 @@ def test_ranked_is_dense(spark):
     back = tokens.where("kind = 'ref'").join(dictionary.select("token", F.col("value").alias("line")), tokens["value"] == F.col("token"))
     wrong = back.where(F.col("line") != F.concat(F.lit("a line that repeats "), (F.col("seq") % n).cast("string")))
     assert dictionary.select("token").distinct().count() == n == back.count() and wrong.isEmpty()
+
+
+def test_chain_stops(spark):
+    from textsieve.operators import classify
+
+    add = lambda df: df.withColumn("n", F.col("n") + 1)
+    twice = lambda df: df.withColumn("n", F.col("n") * 2)
+    one = spark.createDataFrame([(1,)], "n int")
+    assert classify.chain(one, add, {add: twice}).first().n == 4
+    assert classify.chain(one, add, {add: add}).first().n == 6
+    assert classify.chain(one, None, {}).first().n == 1
+
+
+def test_rule_weights():
+    from textsieve.operators import classify
+
+    with pytest.raises(ValueError):
+        classify.check_rules((("a", "x", "LogBlock", -0.1),))
+
+
+def test_chunk_target():
+    assert [ingest.chunk_target(*a) for a in ((0, 4), (1000, 4), (8 << 20, 4), (1 << 40, 8), (1 << 20, 0))] == [0, 256 << 10, 2 << 20, 5 << 20, 1 << 20]
+
+
+def test_metrics(spark):
+    df, seen = sinks.observed(spark.createDataFrame([("ab",), (None,), ("é",)], "value string"), "passed")
+    df.collect()
+    assert sinks.metrics_text(seen.get) == "# TYPE textsieve_bytes counter\ntextsieve_bytes 4\n# TYPE textsieve_rows counter\ntextsieve_rows 3\n"
+
+
+def test_wide_characters_are_not_parted(spark):
+    row = spark.createDataFrame([("ab€cd",)], "t string").select(*[N.trim_to(F.col("t"), n).alias(f"n{n}") for n in range(1, 8)]).first()
+    assert tuple(row) == ("a...", "ab...", "ab...", "ab...", "ab€...", "ab€c...", "ab€cd")

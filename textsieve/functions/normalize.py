@@ -286,8 +286,9 @@ def compact_spaces(value: Column) -> Column:
 
 
 def trim_to(value: Column, most: int) -> Column:
-    """NRM-23: values above ``most`` bytes are cut to as many characters, with an ellipsis."""
-    return F.when(F.octet_length(value) > most, F.concat(F.substring(value, 1, most), F.lit("..."))).otherwise(value)
+    """NRM-23: values above ``most`` bytes are cut to as many, with an ellipsis; a character that the cut would part goes."""
+    head = F.make_valid_utf8(F.substring(F.encode(value, "UTF-8"), 1, most).cast("string"))
+    return F.when(F.octet_length(value) > most, F.concat(F.regexp_replace(head, "\\x{FFFD}\\z", ""), F.lit("..."))).otherwise(value)
 
 
 def compact_time(value: Column) -> Column:
@@ -340,6 +341,19 @@ def human_count(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit("M"))).when(n >= 1_000, F.concat(F.format_number(n / 1_000, 1), F.lit("K"))).otherwise(n.cast("string"))
 
 
+def thousands(n: Column) -> Column:
+    """NRM-29: 1,234."""
+    return F.format_number(n, 0)
+
+
+def human_bytes(n: Column) -> Column:
+    """NRM-29: 12 B, 1.50 KB, 2.00 MB, 3.25 GB."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = F.when(n >= 1024 ** k, F.concat(F.format_string("%.2f", F.bround(n / 1024.0 ** k, 2)), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def apply_patch(base: Column, patch: Column) -> Column:
     """NRM-30: ``i:old->new,...`` on the words of base (from 0); an entry whose old word is not there is ignored."""
     edits = F.filter(F.split(patch, ","), lambda e: e.rlike("^[0-9]+:.*->"))

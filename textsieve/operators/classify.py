@@ -189,10 +189,12 @@ def unwrap(text: Column, patterns: list[tuple[str, int]], rounds: int = 5) -> Co
     return text
 
 
-def chain(df: DataFrame, steps: list, depth: int = 5) -> DataFrame:
-    """RTE-03: DataFrame -> DataFrame steps, one after another."""
-    for step in steps[:depth]:
-        df = df.transform(step)
+def chain(df: DataFrame, step, following: dict, depth: int = 5) -> DataFrame:
+    """RTE-03: a step (DataFrame -> DataFrame), then the step that follows it, until none does or depth is reached."""
+    for _ in range(depth):
+        if step is None:
+            break
+        df, step = df.transform(step), following.get(step)
     return df
 
 

@@ -52,6 +52,12 @@ def rehydrate_for_ai(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return ai_lines(kept)
 
 
+def restore_marks(text: Column, base_timestamp: Column | None = None) -> Column:
+    """INV-04/05: ``$PL`` as ``[Pipeline]``, and a note on what relative times refer to where there is a base."""
+    out = F.replace(text, F.lit("$PL"), F.lit("[Pipeline]"))
+    return out if base_timestamp is None else F.concat(F.when(base_timestamp.isNotNull(), F.concat(F.lit("Note: [T+Xms] are relative to Base Timestamp "), base_timestamp, F.lit("\n\n"))).otherwise(""), out)
+
+
 def restore_fuzzy(df: DataFrame, base: str, patch: str, out: str = "text") -> DataFrame:
     """INV-06: fuzzy duplicates from their base and patch."""
     return df.withColumn(out, apply_patch(F.col(base), F.col(patch)))

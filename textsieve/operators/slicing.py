@@ -4,12 +4,18 @@ A slice has (source_id, slice_no, slice_type, line_start, line_end, text)."""
 
 from __future__ import annotations
 
+import sys
+from functools import partial
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
 from .filters import contains_any, quote
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values.
 ENTITIES = ("&nbsp;", "&lt;", "&gt;", "&amp;", "&quot;", "&apos;", "&copy;", "&reg;", "&trade;", "&mdash;", "&ndash;", "&lsquo;", "&rsquo;", "&ldquo;", "&rdquo;", "&hellip;", "&bull;", "&middot;", "&#")
 XML_HINTS = ("#{", "${", "/>")
@@ -106,17 +112,36 @@ def special_content(lines: DataFrame) -> DataFrame:
     return lines.where(F.contains("line", F.lit("-"))).select("source_id", "line_no", F.posexplode(found).alias("pos", "f")).select("source_id", "line_no", "pos", "f.kind", "f.value")
 
 
+def _greedy(batches, max_lines: int, max_bytes: int):
+    """Numbers the pieces of each run: a piece ends with the line that reaches a cap."""
+    run, cut, n, size = None, 0, 0, 0
+    for df in batches:
+        cuts = []
+        for source, island, b in zip(df["source_id"], df["island"], df["size"], strict=True):
+            if (source, island) != run:
+                run, cut, n, size = (source, island), 0, 0, 0
+            size += b + (n > 0)
+            n += 1
+            cuts.append(cut)
+            if n >= max_lines or size >= max_bytes:
+                cut, n, size = cut + 1, 0, 0
+        yield df.drop(columns="size").assign(cut=cuts)
+
+
 def paragraphs(lines: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """SLC-02: runs of lines that are not blank, cut when they reach the caps (the line that crosses a cap still belongs).
 
-    A run's caps are applied by cutting at multiples of the caps in its running sums, which differs from a greedy
-    cut by less than a line's length; runs below the caps, the usual case, are exact."""
+    Only runs above the caps are cut, line by line: their lines' sizes are read as a sorted stream."""
     blank = F.trim("line") == ""
     df = scan.running_sum(lines, blank.cast("int"), "island", ["source_id"]).where(~blank)
-    df = scan.running_sum(df, F.lit(1), "_n", ["source_id", "island"])
-    df = scan.running_sum(df, F.octet_length("line") + 1, "_b", ["source_id", "island"])
-    cut = F.greatest(F.floor((F.col("_n") - 1) / max_lines), F.floor((F.col("_b") - F.octet_length("line") - 1) / max_bytes))
-    return df.withColumn("_cut", cut).groupBy("source_id", "island", "_cut").agg(
+    run = ["source_id", "island"]
+    sizes = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), (F.sum(F.octet_length("line") + 1) - 1).alias("_b"))
+    over = sizes.where((F.col("_n") > max_lines) | (F.col("_b") > max_bytes)).select(*run)
+    long = df.join(over, run).select(*run, "line_no", F.octet_length("line").cast("bigint").alias("size"))
+    cuts = long.repartition(*run).sortWithinPartitions(*run, "line_no").mapInPandas(
+        partial(_greedy, max_lines=max_lines, max_bytes=max_bytes), ", ".join(f"{n} {t}" for n, t in long.drop("size").dtypes) + ", cut bigint")
+    df = df.join(cuts, [*run, "line_no"], "left").withColumn("_cut", F.coalesce("cut", F.lit(0)))
+    return df.groupBy("source_id", "island", "_cut").agg(
         F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.count(F.lit(1)).alias("n_lines"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
     ).select("source_id", F.col("line_start").alias("slice_no"), F.lit("Paragraph").alias("slice_type"), "line_start", "line_end", "n_lines", "text")

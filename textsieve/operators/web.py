@@ -21,12 +21,35 @@ PATTERNS = {
     "ALB": (rf'^(?:http|https|h2|ws|wss|grpcs)[ \t]+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[^ \t]+)[ \t]+[^ \t]+[ \t]+{IP}:[0-9]+[ \t]+[^ \t]+[ \t]+(-?[0-9.]+)[ \t]+(-?[0-9.]+)[ \t]+(-?[0-9.]+)[ \t]+([0-9]{{3}}|-)[ \t]+([0-9]{{3}}|-)[ \t]+{NUM}[ \t]+{NUM}[ \t]+"([A-Z]+)[ \t]+([^ \t"]+)[ \t]+HTTP/[0-9.]+"[ \t]+"([^"]*)".*$',
             {"time": 1, "ip": 2, "seconds": 4, "status": 6, "bytes": 9, "method": 10, "path": 11, "ua": 12}),
 }
+#: What wraps an access line, as (source, pattern of time, stream and message): a tailed log stream, a row of a table.
+TAIL = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[^ \t]+)[ \t]+([^ \t]+)[ \t]+(.+)$"
+TABLE_ROW = r"^\|[ \t]*([0-9]{10,}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[^|]+?)[ \t]*\|[ \t]*(.*?)[ \t]*\|$"
+ERROR = r"^([0-9]{4}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})[ \t]+\[([a-z]+)\][ \t]+([0-9]+)#[0-9]+:[ \t]+\*[0-9]+[ \t]+(.*)$"
 FIELDS = ("source", "time", "ip", "method", "path", "status", "bytes", "referer", "ua", "reason")
 
 
+def wrapper(line: Column) -> Column:
+    """struct(source, time, message) of a wrapped line, else null."""
+    get = lambda p, g: F.regexp_extract(line, p, g)
+    made = lambda source, time, message: F.struct(source.alias("source"), N.compact_time(time).alias("time"), message.alias("message"))
+    return F.when(line.rlike(TAIL), made(F.concat(F.lit("AWS:"), N.compact_stream(get(TAIL, 2))), get(TAIL, 1), get(TAIL, 3))).when(
+        line.rlike(TABLE_ROW), made(F.lit("CLOUD_TABLE"), get(TABLE_ROW, 1), get(TABLE_ROW, 2)))
+
+
+def errors(lines: DataFrame) -> DataFrame:
+    """PLG-01: error lines of a server: (source_id, line_no, time, level, pid, msg, text)."""
+    at = lambda g: F.regexp_extract("line", ERROR, g)
+    out = lines.where(F.col("line").rlike(ERROR)).select("source_id", "line_no", at(1).alias("time"), at(2).alias("level"), at(3).alias("pid"), at(4).alias("msg"))
+    return out.withColumn("text", F.concat_ws("|", F.lit("$W|E"), "time", "level", "msg"))
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """WEB-01: access records of lines of any known form; other lines go. JSON records are read by their usual names."""
-    line = F.col("line")
+    """WEB-01: access records of lines of any known form, plain or wrapped; other lines go. JSON records are read by their usual names.
+
+    A wrapper's time goes before the line's own; its source is that of forms that name none."""
+    # what a generator gives cannot be copied into each of its uses
+    lines = lines.select("*", F.explode(F.array(wrapper(F.trim("line")))).alias("_w")).select("*", F.explode(F.array(F.coalesce("_w.message", "line"))).alias("_m"))
+    line = F.col("_m")
     recs = []
     for name, (p, groups) in PATTERNS.items():
         get = lambda k, p=p, groups=groups: F.regexp_extract(line, p, groups[k]) if k in groups else F.lit("")
@@ -39,8 +62,11 @@ def parse(lines: DataFrame) -> DataFrame:
         F.lit("json").alias("source"), j("time", "timestamp", "ts").alias("time"), j("remote_addr", "ip", "client_ip").alias("ip"), j("method", "request_method").alias("method"), j("path", "uri", "request_uri", "url").alias("path"),
         j("status").alias("status"), j("bytes", "body_bytes_sent").alias("bytes"), j("referer", "http_referer").alias("referer"), j("ua", "user_agent", "http_user_agent").alias("ua"), F.lit("").alias("reason"),
         N.duration_ms(j("request_time", "duration")).alias("duration_ms"))))
-    out = lines.withColumn("_rec", F.coalesce(*recs)).where("_rec is not null")
-    return out.select("source_id", "line_no", "_rec.*", F.col("line").alias("raw")).withColumn("reason", F.when(F.col("reason") == "", N.status_reason(F.col("status"))).otherwise(F.col("reason")))
+    out = lines.select("*", F.explode(F.filter(F.array(F.coalesce(*recs)), lambda r: r.isNotNull())).alias("_rec"))
+    own = F.struct(
+        F.when(F.col("_w").isNotNull() & F.col("_rec.source").isin("combined", "common", "uvicorn"), F.col("_w.source")).otherwise(F.col("_rec.source")).alias("source"),
+        F.coalesce("_w.time", "_rec.time").alias("time"), *[F.col(f"_rec.{k}").alias(k) for k in (*FIELDS[2:], "duration_ms")])
+    return out.select("source_id", "line_no", F.explode(F.array(own)).alias("_rec"), "line").select("source_id", "line_no", "_rec.*", F.col("line").alias("raw")).withColumn("reason", F.when(F.col("reason") == "", N.status_reason(F.col("status"))).otherwise(F.col("reason")))
 
 
 def parse_delimited(lines: DataFrame, sep: str = " ") -> DataFrame:

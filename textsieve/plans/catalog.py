@@ -11,7 +11,7 @@ from ..functions import normalize as N
 from ..operators import classify, filters, inverse, reduce, reorder, slicing, templates, tracking, web
 from ..sources import ingest
 from ..streaming import stream
-from . import fixtures
+from . import derived, fixtures
 from .views import ACCESS, LOG, access_view, log_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -765,7 +765,7 @@ def _windows(spark, sf):
     return stream.window_counts(ingest.table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 2))
 
 
-for _name, (_f, _sql) in fixtures.QUERIES.items():
+for _name, (_f, _sql) in (fixtures.QUERIES | derived.QUERIES).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLES[_name] = _sql

@@ -74,6 +74,15 @@ def is_anchor(line: Column) -> Column:
     return (F.trim(line) == "") | line.rlike(r"^[0-9\[]") | ~line.rlike(r"^[ \t]")
 
 
+# The least and the greatest size of a chunk.
+MIN_CHUNK, MAX_CHUNK = 256 * 1024, 5 * 1024 * 1024
+
+
+def chunk_target(total: int, workers: int) -> int:
+    """ING-07: a worker's share of the bytes, within the bounds; 0 for nothing."""
+    return min(max(total // max(workers, 1), MIN_CHUNK), MAX_CHUNK) if total else 0
+
+
 def chunks(df: DataFrame, target: int) -> DataFrame:
     """ING-07: (source_id, line_no, line) -> chunk_no, so that no indented continuation is cut from its head.
 
