@@ -41,7 +41,7 @@ from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS = 5, 0.8, 25, 5, 64, 256, 1 << 20
+WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS, HOT = 5, 0.8, 25, 5, 64, 256, 1 << 20, 1000
 REGISTERS = BANDS * ROWS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -214,14 +214,24 @@ def _rare_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("id"), F.col("y").alias("id2")).select(*_ordered("id", "id2"))
 
 
+def _named(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with their group's (c1, c2) columns. Groups of at least a share of 1 / HOT of the rows, of which there are at most
+    HOT, are broadcast, so that no task has more of one group than that share."""
+    least = F.lit(max(rows.count() // HOT, 1) + 1)
+    large = F.broadcast(named.where(F.col("copies") >= least))
+    rest = rows.join(large.select("c1", "c2"), ["c1", "c2"], "left_anti")
+    return rows.join(large, ["c1", "c2"]).unionByName(rest.join(named.where(F.col("copies") < least), ["c1", "c2"]))
+
+
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, class_id, copy_of): class_id is the smallest id of the document's class, copy_of that of the documents with the same words."""
     words = docs.select(F.col(key).alias("id"), text_or_empty().alias("text")).where(F.col("id").isNotNull()).withColumn("k", word_hashes(F.col("text")))
     signed = cut(
         words.select("id", F.xxhash64("k").alias("c1"), F.xxhash64(F.lit(3), "k").alias("c2"), "k")
         .mapInArrow(_signatures, f"id {dict(docs.dtypes)[key]}, c1 bigint, c2 bigint, bands array<bigint>"), "signatures")
-    first = signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    reps = signed.join(first, ["c1", "c2"]).where("id = rep").dropDuplicates(["c1", "c2"])
+    # written, so that the join with the representatives is dealt by id as well and a group of copies is not one task
+    first = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
+    reps = signed.join(first, (signed["id"] == first["rep"]) & (signed["c1"] == first["c1"]) & (signed["c2"] == first["c2"]), "left_semi").dropDuplicates(["c1", "c2"])
     members = reps.select(F.explode("bands").alias("bucket"), "id")
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(members.join(several, "bucket"), "buckets")  # only of buckets with several members
@@ -244,9 +254,9 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     if not pairs.isEmpty():
         tested = cut(tested.unionByName(_verified(pairs, sets)), "tested")
         labels = components(tested.where("ok"))
-    named = first.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "rep", F.coalesce("label", "rep").alias("class_id"))
+    named = first.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "rep", "copies", F.coalesce("label", "rep").alias("class_id"))
     drop_cut(sets)
-    result = signed.join(named, ["c1", "c2"]).select(F.col("id").alias(key), "class_id", F.col("rep").alias("copy_of"))
+    result = _named(signed.select("id", "c1", "c2"), named).select(F.col("id").alias(key), "class_id", F.col("rep").alias("copy_of"))
     without = docs.where(F.col(key).isNull()).select(key, F.lit(None).cast(dict(docs.dtypes)[key]).alias("class_id"), F.lit(None).cast(dict(docs.dtypes)[key]).alias("copy_of"))
     return result.unionByName(without)
 
