@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, slices, table, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,7 +76,7 @@ def _digest_rows(min_words: int):
     """Rows (id, a, twice): each digest of a row once, and whether it occurs there more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [Counter(d for d in digests(t, min_words)[1] if d is not None) for t in batch.column(1).to_pylist()]
             take = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
             a = pa.array([d for x in own for d in x], pa.int64())
@@ -116,7 +116,7 @@ def _cleaned(min_words: int, min_run: int):
         return [r[:2] for r in runs], len(units), sum(r[3] for r in runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, gone = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
             kept, spans, units_n, removed_n = [], [], [], []
             for i, t in enumerate(texts):

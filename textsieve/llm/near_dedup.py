@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table, text_or_empty
+from .common import cut, drop_cut, slices, table, text_or_empty
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,27 +118,25 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            values, offsets = _flat(batch.column(3))
-            doc, element, count = shingles(values, offsets)
-            weighted = band_keys(prob_min_hash(doc, element, 1 + np.log(count), batch.num_rows))
-            some = np.diff(offsets) > 0
-            uneven = np.zeros(batch.num_rows, bool)
-            uneven[doc[count > 1]] = True
-            own = uneven[doc]
-            number = np.cumsum(uneven) - 1
-            unit = band_keys(prob_min_hash(number[doc[own]], element[own], np.ones(own.sum()), uneven.sum()))
-            keys = [np.unique(np.concatenate([weighted[i], unit[number[i]]])) if uneven[i] else weighted[i] for i in np.flatnonzero(some)]
-            sizes = np.zeros(batch.num_rows, np.int64)
-            sizes[some] = [len(k) for k in keys]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["id", "c1", "c2", "bands"])
+    for batch in slices(batches):
+        values, offsets = _flat(batch.column(3))
+        doc, element, count = shingles(values, offsets)
+        weighted = band_keys(prob_min_hash(doc, element, 1 + np.log(count), batch.num_rows))
+        some = np.diff(offsets) > 0
+        uneven = np.zeros(batch.num_rows, bool)
+        uneven[doc[count > 1]] = True
+        own = uneven[doc]
+        number = np.cumsum(uneven) - 1
+        unit = band_keys(prob_min_hash(number[doc[own]], element[own], np.ones(own.sum()), uneven.sum()))
+        keys = [np.unique(np.concatenate([weighted[i], unit[number[i]]])) if uneven[i] else weighted[i] for i in np.flatnonzero(some)]
+        sizes = np.zeros(batch.num_rows, np.int64)
+        sizes[some] = [len(k) for k in keys]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["id", "c1", "c2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         values, offsets = _flat(batch.column(1))
         doc, element, _ = shingles(values, offsets)
         short = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -166,7 +164,7 @@ def _slots(s: np.ndarray) -> np.ndarray:
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slot, n): a task's counters."""
     counts = np.zeros(SLOTS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         counts += np.bincount(_slots(_flat(batch.column(0))[0]), minlength=SLOTS)
     slot = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], names=["slot", "n"])
@@ -176,7 +174,7 @@ def _prefixes(counts):
     """Rows (id, label, n, s, at, df): of each set the rarest shingles that any set as similar must meet, without those that no other has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values, offsets = _flat(batch.column(2))
             often = counts.value[_slots(values)]
             size = np.diff(offsets)

@@ -41,12 +41,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import release, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODEL = os.environ.get("TEXTSIEVE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-BLANK, CACHE, CACHED_CHARS = "▁", 1_000_000, 40
+BLANK, CACHE, CACHED_CHARS = "▁", 1 << 18, 40
 START, DEAD, OTHER = -2, -1, 1 << 20  # codes: before the text, no path, character without a piece
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 NONE: tuple[int, dict] = (-1, {})
@@ -359,6 +359,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in fields]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(counts), pa.array(exact)], names=[*[f.name for f in fields], "ids", "n_ids", "exact"])
                 at = to
+        release()
 
     return docs.mapInArrow(run, schema)
 
