@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, label) for every node that has a link; label is the component's smallest node.
 
     Each round takes the smallest label among a node's neighbours and then the label of its label, so that
-    the rounds grow with the logarithm of a component's diameter in the usual case; they go on until no label changes. Rounds are written to
-    the shared folder: none depends on an executor's memory. Two joins a round, and sums before shuffles."""
+    the rounds grow with the logarithm of a component's diameter in the usual case; they go on until no label
+    changes. Rounds are written to the shared folder: none depends on an executor's memory. Two joins a round, and sums before shuffles."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
