@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsieve.functions import normalize as N
-from textsieve.operators import filters, inverse, reduce, rules, scan, templates
+from textsieve.operators import filters, inverse, reduce, rules, scan, slicing, templates
 from textsieve.sources import ingest, sinks
 from textsieve.streaming import stream
 
@@ -242,3 +242,18 @@ def test_metrics(spark):
 def test_wide_characters_are_not_parted(spark):
     row = spark.createDataFrame([("ab€cd",)], "t string").select(*[N.trim_to(F.col("t"), n).alias(f"n{n}") for n in range(1, 8)]).first()
     assert tuple(row) == ("a...", "ab...", "ab...", "ab...", "ab€...", "ab€c...", "ab€cd")
+
+
+def test_paragraph_caps_deal_each_run_to_one_task(spark):
+    step = scan.SIZE // 10 + 1
+    rows = [(s, n * step, "x" * (5 + n % 3)) for s in range(6) for n in range(60)]
+    df = spark.createDataFrame(rows, "source_id bigint, line_no bigint, line string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables; AQE may still broadcast once sizes are known
+    try:
+        made = slicing.paragraphs(df, max_lines=7, max_bytes=10**6).select("source_id", "line_start", "n_lines")
+        plan = made._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[1].splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [next(k for k in ("Exchange", "Join") if k in x) for x in plan[1:] if "Exchange" in x or "Join" in x]
+    assert below[0] == "Exchange"  # not the join's own, which a broadcast takes away
+    assert sorted(map(tuple, made.collect())) == [(s, n * step, min(7, 60 - n)) for s in range(6) for n in range(0, 60, 7)]

@@ -138,7 +138,8 @@ def paragraphs(lines: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MA
     sizes = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), (F.sum(F.octet_length("line") + 1) - 1).alias("_b"))
     over = sizes.where((F.col("_n") > max_lines) | (F.col("_b") > max_bytes)).select(*run)
     long = df.join(over, run).select(*run, "line_no", F.octet_length("line").cast("bigint").alias("size"))
-    cuts = long.repartition(*run).sortWithinPartitions(*run, "line_no").mapInPandas(
+    # dealt by an expression of its own: a repartition by the columns of the join before it is left out, and the join may be broadcast
+    cuts = long.repartition(F.xxhash64(*run)).sortWithinPartitions(*run, "line_no").mapInPandas(
         partial(_greedy, max_lines=max_lines, max_bytes=max_bytes), ", ".join(f"{n} {t}" for n, t in long.drop("size").dtypes) + ", cut bigint")
     df = df.join(cuts, [*run, "line_no"], "left").withColumn("_cut", F.coalesce("cut", F.lit(0)))
     return df.groupBy("source_id", "island", "_cut").agg(
