@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,34 @@ def test_drain_message_by_message(spark):
         assert sorted(map(tuple, got)) == drain([((s, n), x) for s, n, x in rows])
 
 
+def test_drain_in_batches():
+    """Whole batches give what single messages give."""
+    rng = random.Random(9)
+    made = [[rng.choice(["a", "b", "<*>"]), *[rng.choice("pqrs") for _ in range(6)]] for _ in range(3000)]
+    want = templates.grow([(toks, 1, i) for i, toks in enumerate(made)])
+    leaf, at = templates.Leaf(), 0
+    while at < len(made):
+        part = made[at:at + rng.choice([1, 7, 1000])]
+        coded = pa.array([t for toks in part for t in toks]).dictionary_encode()
+        leaf.extend(coded.indices.to_numpy().reshape(len(part), -1).T, coded.dictionary, lambda i, at=at: at + i)
+        at += len(part)
+    assert [tuple(c) for c in leaf.clusters] == want and len(want) > 3
+
+
+def test_drain_reads_messages_twice(spark, tmp_path):
+    spark.createDataFrame([(1, n, f"user {n % 9} said word{n}") for n in range(50)], "source_id bigint, line_no bigint, line string").write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.read.parquet(str(tmp_path / "t")).mapInArrow(seen, "source_id bigint, line_no bigint, line string")
+    assert sum(r["size"] for r in templates.mine(df).collect()) == 50
+    assert reads.value <= 100
+
+
 def test_drain_children_limit(spark):
     df = templates.with_leaf(lines(spark, "\n".join(f"m {chr(97 + i // 26)}{chr(97 + i % 26)} end" for i in range(103)) + "\none"))
     leaves = {r.line_no: r.leaf for r in df.collect()}
