@@ -396,6 +396,19 @@ def test_streaming_commits_early():
     assert [i for p in out for i in m.ids_of(p)] == m.short("internationalisation" * 300)
 
 
+def test_chunks_are_cut_where_no_piece_goes_on():
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    m = sentencepieces.load()
+    m.encode("thineverung")
+    known, seen = set(m.cache), []
+    m.short = lambda part, short=m.short: (seen.append(part), short(part))[1]
+    for text in ("thineverung%%%", "2024-01-01T00:11:12.172Z", "日本x語。y", "Des.\nLyret"):
+        assert np.frombuffer(m.encode(text), "<i4").tolist() == lib.encode(text)
+    assert not known & set(seen) and "▁thineverung%%%" not in seen  # the word is not searched again for what follows it
+
+
 def test_unigram_search():
     m = sentencepieces.Pieces([("<unk>", 0, 2), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -1.0, 1), ("ba", -0.5, 1), ("aba", -4.0, 1)], "unigram")
     for text in ("abab", "ababa", "bb", "aab" * 30):

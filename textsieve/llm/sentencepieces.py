@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The model's pieces are read from its file (a parameter; the file is never copied). The search goes
-over a chunk's positions from left to right, follows the pieces that begin there in a trie, and keeps one
+over a chunk's positions from left to right, has the pieces that end there from an Aho-Corasick automaton, and keeps one
 backpointer a position: the last piece of the best segmentation that ends there. Only positions within the
-longest piece can still be reached or left, so only they are kept; whenever the paths that survive in this window
+longest piece can still be left, so only they are kept; whenever the paths that survive in this window
 meet in one boundary, the ids before it are committed and forgotten. Memory is bounded by the longest piece, not by
 the text. All chunks, short and long ones, go through this one search (``codes``).
 
@@ -16,7 +16,8 @@ largest sum of scores.
 
 Text is prepared as the model says (identity normalisation): a blank in front, blanks written as
 U+2581. No piece has a blank after another character, so a run of blanks with the characters up to the
-next blank is a chunk of its own; ids of short chunks are remembered (at most CACHE of them). A
+next blank is a chunk of its own. Chunks are cut further where no piece holds the two neighbours; ids of short chunks and of
+their parts are remembered (at most CACHE of them). A
 character without a piece becomes its UTF-8 bytes' pieces.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is decoded as a blank, as the model
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
 import os
 import re
 import sys
@@ -47,9 +49,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODEL = os.environ.get("TEXTSIEVE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK, CACHE, CACHED_CHARS = "▁", 1 << 18, 40
-START, DEAD, OTHER = -2, -1, 1 << 20  # codes: before the text, no path, character without a piece
+START, OTHER = -2, 1 << 20  # codes: before the text, character without a piece
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-NONE: tuple[int, dict] = (-1, {})
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,23 +96,16 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], str]:
 
 
 class Window:
-    """What the search keeps: the text from the last committed boundary on, and for each place in it the code of the piece that
-    ends there on the best path, where that piece begins, and the path's score; at is the next start."""
+    """What the search keeps: for each place from the last committed boundary on the code of the piece that ends there on the best
+    path, where that piece begins, and the path's score; and the trie's node of the longest piece or piece's head that ends now."""
 
-    __slots__ = ("at", "last", "start", "text", "total")
+    __slots__ = ("last", "node", "start", "total")
 
     def __init__(self) -> None:
-        self.text, self.last, self.start, self.total, self.at = "", [START], [0], [0.0], 0
+        self.last, self.start, self.total, self.node = [START], [0], [0.0], 0
 
-    def append(self, block: str, bpe: bool) -> None:
-        self.text += block
-        self.last += [DEAD] * len(block)
-        self.start += [0] * len(block)
-        if not bpe:
-            self.total += [0.0] * len(block)
-
-    def forget(self, at: int, committed: int) -> None:
-        self.text, self.last, self.total, self.at = self.text[committed:], self.last[committed:], self.total[committed:], at - committed
+    def forget(self, committed: int) -> None:
+        self.last, self.total = self.last[committed:], self.total[committed:]
         self.start = [x - committed for x in self.start[committed:]]
 
 
@@ -131,17 +125,35 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.width = np.array([len(x) for x in surface], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.width)[:-1]]) if surface else np.zeros(0, np.int64)
-        self.root: dict = {}  # character -> (the piece's id or -1, the node below)
-        for p, i in self.id.items():
-            below = self.root
-            for k, c in enumerate(p):
-                own, under = below.get(c, NONE)
-                under = {} if own < 0 and not under else under
-                below[c] = (i if k == len(p) - 1 else own, under)
-                below = under
-        self.pair: dict[int, bool] = {}
+        self.below, self.shorter, self.ending = self.automaton()
+        self.inner = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}  # neighbours that some piece holds
+        self.pair: dict[int, bool] = {}  # last piece << 22 | next piece -> whether it is admissible
         self.cache: dict[str, bytes] = {}
-        self.whole: dict[int, bool] = {}
+
+    def automaton(self) -> tuple[list[dict], list[int], list[tuple]]:
+        """The pieces' trie for all places at once (Aho and Corasick): of each node the nodes below by character, the node of its
+        longest proper ending, and the (length, id) of all pieces that end there, the longest first."""
+        below, shorter, ending = [{}], [0], [()]
+        for p, i in self.id.items():
+            at = 0
+            for c in p:
+                if c not in below[at]:
+                    below[at][c] = len(below)
+                    below.append({})
+                    shorter.append(0)
+                    ending.append(())
+                at = below[at][c]
+            ending[at] = ((len(p), i),)
+        nodes = list(below[0].values())
+        for at in nodes:  # in the order of their depths; grows on the way
+            for c, to in below[at].items():
+                up = shorter[at]
+                while up and c not in below[up]:
+                    up = shorter[up]
+                shorter[to] = below[up].get(c, 0)
+                ending[to] += ending[shorter[to]]
+                nodes.append(to)
+        return below, shorter, ending
 
     def merges(self, text: str, edge: int = 0) -> list[str]:
         """What the merges make of a short text: the best-scored pair first, the leftmost of equals. With an edge, they end (and
@@ -172,13 +184,11 @@ class Pieces:
 
     def admissible(self, last: int, code: int) -> bool:
         """Whether the merges make these two pieces of their concatenation (BPE)."""
-        if last == START:
-            ok = self.whole[code] = self.merges(self.piece(code)) == [self.piece(code)]
-            return ok
         if len(self.pair) > CACHE:
             self.pair.clear()
-        a, b = self.piece(last), self.piece(code)
-        ok = self.pair[last << 22 | code] = self.merges(a + b, len(a)) == [a, b]
+        a, b = self.piece(last) if last != START else "", self.piece(code)
+        ok = self.merges(a + b, len(a)) == ([a, b] if a else [b])
+        self.pair[last << 22 | code] = ok
         return ok
 
     def ids_of(self, code: int | str) -> tuple[int, ...]:
@@ -198,39 +208,43 @@ class Pieces:
 
     def search(self, w: Window, block: str, ended: bool) -> list[int]:
         """Goes on with the next characters; the codes that are certain now (all, if the text has ended)."""
-        pair, whole, longest, bpe, out = self.pair, self.whole, self.longest, self.kind == "bpe", []
-        w.append(block, bpe)
-        text, last, start, total, at, n, committed = w.text, w.last, w.start, w.total, w.at, len(w.text), 0
-        stop = n if ended else n - longest  # the starts all of whose pieces are within the text
-        while at < stop:
-            before, below, end, first = last[at], self.root, at, at + 1
-            if before != DEAD:
-                for c in text[at:at + longest]:
-                    end += 1
-                    code, below = below.get(c, NONE)
-                    if code < 0:
-                        if end > first:
-                            if below:
-                                continue
-                            break
-                        code = OTHER + ord(c)
-                    if bpe:
-                        if last[end] == DEAD:  # only one path to a place is admissible
-                            ok = pair.get(before << 22 | code) if before != START else whole.get(code)
-                            if self.admissible(before, code) if ok is None else ok:
-                                last[end], start[end] = code, at
-                    else:
-                        s = total[at] + (self.score[self.text[code]] if code < OTHER else self.least)
-                        if last[end] == DEAD or s > total[end]:
-                            last[end], start[end], total[end] = code, at, s
-            at += 1
-            if at - committed >= 2 * longest:
-                common = self._converged(last, start, committed, at, n)
+        pair, below, shorter, ending, longest, bpe, out = self.pair, self.below, self.shorter, self.ending, self.longest, self.kind == "bpe", []
+        last, start, total, node, committed, end = w.last, w.start, w.total, w.node, 0, len(w.last) - 1
+        for c in block:
+            end += 1
+            to = below[node].get(c)
+            while to is None and node:
+                node = shorter[node]
+                to = below[node].get(c)
+            node = to or 0
+            pieces = ending[node]
+            if not pieces or pieces[-1][0] > 1:  # no piece of this character alone
+                pieces = (*pieces, (1, OTHER + ord(c)))
+            if bpe:
+                for size, code in pieces:  # only one path to a place is admissible
+                    before = last[end - size]
+                    ok = pair.get(before << 22 | code)
+                    if self.admissible(before, code) if ok is None else ok:
+                        last.append(code)
+                        start.append(end - size)
+                        break
+            else:
+                most = None
+                for size, code in pieces:
+                    s = total[end - size] + (self.score[self.text[code]] if code < OTHER else self.least)
+                    if most is None or s > most:
+                        most, best, begin = s, code, end - size
+                total.append(most)
+                last.append(best)
+                start.append(begin)
+            if end - committed >= 3 * longest:
+                common = self._converged(start, committed, end)
                 out += self._back(last, start, common, committed)
                 committed = common
         if ended:
-            return out + self._back(last, start, n, committed)
-        w.forget(at, committed)
+            return out + self._back(last, start, end, committed)
+        w.node = node
+        w.forget(committed)
         return out
 
     @staticmethod
@@ -241,17 +255,16 @@ class Pieces:
             at = start[at]
         return out[::-1]
 
-    def _converged(self, last: list[int], start: list[int], committed: int, at: int, n: int) -> int:
-        """The last boundary that all paths share that can go on: those to at and to the places that pieces from before it reach."""
+    def _converged(self, start: list[int], committed: int, end: int) -> int:
+        """The last boundary that all paths share that can go on: those to the places in which a piece that ends later can begin."""
         paths = []
-        for p in range(at, min(n, at + self.longest - 1) + 1):
-            if last[p] != DEAD:
-                cuts = []
-                while p > committed:
-                    cuts.append(p)
-                    p = start[p]
-                cuts.append(committed)
-                paths.append(cuts[::-1])
+        for p in range(max(committed, end + 1 - self.longest), end + 1):
+            cuts = []
+            while p > committed:
+                cuts.append(p)
+                p = start[p]
+            cuts.append(committed)
+            paths.append(cuts[::-1])
         common = committed
         for cuts in zip(*paths):  # noqa: B905
             if len(set(cuts)) > 1:
@@ -271,9 +284,30 @@ class Pieces:
             return out
         return [i for c in out for i in self.ids_of(c)]
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk, cut between neighbours that no piece holds: every segmentation has a boundary there."""
+        inner, cuts = self.inner, [0]
+        for i, pair in enumerate(map(operator.add, chunk, chunk[1:]), 1):
+            if pair not in inner:
+                cuts.append(i)
+        if len(cuts) == 1:
+            return [chunk]
+        cuts.append(len(chunk))
+        return [chunk[i:j] for i, j in itertools.pairwise(cuts)]
+
     def chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk as 32-bit numbers; those of chunks of usual length are remembered."""
-        got = array("i", self.short(chunk)).tobytes()
+        """The ids of a chunk as 32-bit numbers; those of chunks and parts of usual length are remembered."""
+        parts = self.parts(chunk)
+        if len(parts) > 1:
+            cache, miss = self.cache, self.part
+            got = b"".join([cache.get(p) or miss(p) for p in parts])
+            return self.remember(chunk, got)
+        return self.part(chunk)
+
+    def part(self, part: str) -> bytes:
+        return self.remember(part, array("i", self.short(part)).tobytes())
+
+    def remember(self, chunk: str, got: bytes) -> bytes:
         if len(chunk) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
