@@ -249,6 +249,19 @@ def test_suffix_array(seed):
         assert shared[t] == k or (k == min(len(a), len(b)) < 100)
 
 
+def test_first_occurrences_travel_packed():
+    """A split passage's strings are many more than its rows."""
+    rng = random.Random(3)
+    text = bytes(rng.randrange(97, 123) for _ in range(20_000))
+    made = suffix_dedup._chunk([(7, True, 1, 0, 0, text), (7, True, None, 0, 5, text[:300])])
+    rows = made.to_pylist()
+    packed = [r for r in rows if r["bucket"] is not None]
+    places = {(i, lo): r["strings"][k * 100:(k + 1) * 100] for r in packed for k, (i, lo) in enumerate(zip(r["ids"], r["los"], strict=True))}
+    want = {(None, 5 + x): text[x:x + 100] for x in range(201)} | {(1, x): text[x:x + 100] for x in range(201, len(text) - 99)}
+    assert places == want and len(packed) <= suffix_dedup.BUCKETS
+    assert [(r["id"], r["lo"], r["hi"]) for r in rows if r["bucket"] is None] == [(1, 0, 300)]
+
+
 def test_merge_runs():
     rng = random.Random(1)
     runs = [sorted({bytes([rng.randint(0, 5)]): (True, r, 0, rng.randint(0, 99)) for _ in range(4)}.items()) for r in range(7)]

@@ -16,8 +16,8 @@ LENGTH; Kasai's recurrence gives common prefixes, many text lanes at a time. In
 that share LENGTH bytes all but the first in text order are repeats.
 
 *Merging.* Subshards of a split anchor give back the first occurrence of each string in suffix order;
-these sorted runs are merged by binary search, strings being dealt out by their hash, and all but the
-earliest of equal ones are repeats as well.
+these sorted runs are merged by binary search, strings being dealt out by their checksum into buckets (a run's strings of
+one bucket travel as one row), and all but the earliest of equal ones are repeats as well.
 
 Memory: a shard task works on pieces of about ``CHUNK`` bytes at a time; a key with more than twice as
 many is worked off in parts, whose first occurrences are merged like those of subshards. Very common anchors are found in a sample of the documents and counted by
@@ -30,7 +30,9 @@ extra columns stay.
 
 from __future__ import annotations
 
+import itertools
 import sys
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -47,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, KGRAM, HOT, CHUNK, VIEW = 100, 32, 512, 1 << 20, 1 << 22
 GRAMS = LENGTH - KGRAM + 1
-SAMPLE, COMMON, HOT_LIST = 64, 48, 100_000
+SAMPLE, COMMON, HOT_LIST, BUCKETS = 64, 48, 100_000, 1024
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LOW = np.uint64((1 << 24) - 1)
 
@@ -270,7 +272,7 @@ def repeats(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[ok & (order != own)], first[first < len(data)]
 
 
-def _chunk(rows: list[tuple], part: int = 0) -> pa.RecordBatch:
+def _chunk(rows: list[tuple]) -> pa.RecordBatch:
     """Rows (key, hot, id, h, lo, piece) of whole keys -> covered spans, and the split keys' first occurrences."""
     rows.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[4]))
     rows = [r for i, r in enumerate(rows) if not i or r[2:5] != rows[i - 1][2:5]]
@@ -294,12 +296,30 @@ def _chunk(rows: list[tuple], part: int = 0) -> pa.RecordBatch:
     who = np.concatenate([row[s], owner]).astype(np.int64)
     low = np.concatenate([lo[row[s]] + again[s] - begins[row[s]], lo[owner] + firsts - begins[owner]])
     high = np.concatenate([lo[row[s]] + again[e] - begins[row[s]], lo[owner] + firsts - begins[owner]]) + LENGTH
-    raw = data.tobytes()
-    string = [None] * len(s) + [raw[i:i + LENGTH] for i in firsts.tolist()]
-    run = rows[0][0] * 1_000_003 + part & (1 << 63) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array([rows[i][2] for i in who.tolist()], pa.int64()), pa.array([rows[i][3] for i in who.tolist()], pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-         pa.array(string, pa.binary()), pa.array([run] * len(who), pa.int64())], names=["id", "h", "lo", "hi", "string", "run"])
+    return _found(
+        pa.array([rows[i][2] for i in who.tolist()], pa.int64()), pa.array([rows[i][3] for i in who.tolist()], pa.int64()), low, high, len(s), data.tobytes(), firsts)
+
+
+def _found(ids: pa.Array, h: pa.Array, low: np.ndarray, high: np.ndarray, spans: int, raw: bytes, firsts: np.ndarray) -> pa.RecordBatch:
+    """Rows of the first spans, one each, and of the first occurrences after them, which are packed: a row for each bucket of
+    their strings' checksums, in suffix order."""
+    strings = [raw[i:i + LENGTH] for i in firsts.tolist()]
+    bucket = np.array([zlib.crc32(x) % BUCKETS for x in strings], dtype=np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    ends = np.append(edges, len(order)).astype(np.int32)
+    take = pa.array(order + spans)
+    text = [b"".join([strings[i] for i in order[x:y].tolist()]) for x, y in itertools.pairwise(ends.tolist())]
+
+    def column(values: pa.Array | list, own: pa.Array | list, kind: pa.DataType) -> pa.Array:
+        nulls = [pa.nulls(n, kind) for n in (spans, len(edges))]
+        return pa.concat_arrays([nulls[0] if values is None else values.slice(0, spans), nulls[1] if own is None else own])
+
+    lists = [pa.ListArray.from_arrays(pa.array(ends), x.take(take)) for x in (ids, h, pa.array(low, pa.int64()))]
+    many, one = pa.list_(pa.int64()), pa.int64()
+    columns = [column(x, None, one) for x in (ids, h, pa.array(low, one), pa.array(high, one))]
+    columns += [column(None, pa.array(bucket[order][edges], one), one), *[column(None, x.cast(many), many) for x in lists], column(None, pa.array(text, pa.binary()), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "h", "lo", "hi", "bucket", "ids", "hs", "los", "strings"])
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +333,13 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, size = [], 0
                 last, own, parts = r[0], 0, 0
             elif own >= 2 * CHUNK:
-                yield _chunk([(*x[:1], x[1] or x[0] == last, *x[2:]) for x in rows], parts)
+                yield _chunk([(*x[:1], x[1] or x[0] == last, *x[2:]) for x in rows])
                 rows, size, own, parts = [], 0, 0, parts + 1
             rows.append((*r[:1], r[1] or parts > 0, *r[2:]))
             size += len(r[5])
             own += len(r[5])
     if rows:
-        yield _chunk(rows, parts)
+        yield _chunk(rows)
 
 
 def merge_runs(runs: list[list[tuple[bytes, tuple]]]) -> tuple[list[tuple[bytes, tuple]], list[tuple]]:
@@ -343,25 +363,28 @@ def merge_runs(runs: list[list[tuple[bytes, tuple]]]) -> tuple[list[tuple[bytes,
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's rows, sorted by run and string: spans (no string) go through, first occurrences are merged."""
+    """A partition's rows, sorted by bucket: spans (no bucket) go through, a bucket's first occurrences are merged."""
     runs: list[list[tuple[bytes, tuple]]] = []
-    last: object = runs
+    last = None
+
+    def repeated() -> pa.RecordBatch:
+        _, gone = merge_runs(runs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[1] if p[0] else None for p in gone], pa.int64()), pa.array([p[2] for p in gone], pa.int64()), pa.array([p[3] for p in gone], pa.int64()), pa.array([p[3] + LENGTH for p in gone], pa.int64())],
+            names=["id", "h", "lo", "hi"])
+
     for batch in batches:
         span = batch.filter(pc.is_null(batch.column(4)))
         if span.num_rows:
             yield span.select(["id", "h", "lo", "hi"])
-        for i, h, lo, _, s, run in zip(*[c.to_pylist() for c in batch.filter(pc.is_valid(batch.column(4))).columns], strict=True):
-            if run != last:
-                runs.append([])
-                last = run
-            place = (i is not None, i or 0, h, lo)
-            if runs[-1] and runs[-1][-1][0] == s:  # several chunks of a run
-                runs.append([])
-            runs[-1].append((s, place))
-    _, gone = merge_runs(runs)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([p[1] if p[0] else None for p in gone], pa.int64()), pa.array([p[2] for p in gone], pa.int64()), pa.array([p[3] for p in gone], pa.int64()), pa.array([p[3] + LENGTH for p in gone], pa.int64())],
-        names=["id", "h", "lo", "hi"])
+        packed = batch.filter(pc.is_valid(batch.column(4)))
+        for i in range(packed.num_rows):
+            bucket, ids, hs, los, text = (c[i].as_py() for c in packed.columns[4:])
+            if bucket != last:
+                yield repeated()
+                runs, last = [], bucket
+            runs.append([(text[k * LENGTH:(k + 1) * LENGTH], (x is not None, x or 0, h, lo)) for k, (x, h, lo) in enumerate(zip(ids, hs, los, strict=True))])
+    yield repeated()
 
 
 def union(spans: np.ndarray) -> np.ndarray:
@@ -429,9 +452,10 @@ def covered(docs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     hits = seen.select(F.col("id").alias("_cid"), F.col("h").alias("_ch"), F.struct("at", F.coalesce("route", F.lit(-1)).alias("route"), split.alias("split")).alias("hit")).groupBy("_cid", "_ch").agg(F.collect_list("hit").alias("hits"))
     with_hits = whole.join(hits, F.col("id").eqNullSafe(F.col("_cid")) & (F.col("h") == F.col("_ch"))).select("id", "h", "text", "hits")
     pieces = with_hits.mapInArrow(_pieces, "key bigint, hot boolean, id bigint, h bigint, lo bigint, piece binary")
-    found = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_shard, "id bigint, h bigint, lo bigint, hi bigint, string binary, run bigint")
-    dealt = found.repartition(F.when(F.col("string").isNull(), F.xxhash64("id", "h", "lo")).otherwise(F.xxhash64("string")))
-    return dealt.sortWithinPartitions("run", "string").mapInArrow(_merge, "id bigint, h bigint, lo bigint, hi bigint")
+    found = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _shard, "id bigint, h bigint, lo bigint, hi bigint, bucket bigint, ids array<bigint>, hs array<bigint>, los array<bigint>, strings binary")
+    dealt = found.repartition(F.when(F.col("bucket").isNull(), F.xxhash64("id", "h", "lo")).otherwise(F.xxhash64("bucket")))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(_merge, "id bigint, h bigint, lo bigint, hi bigint")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
