@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same, connection
 from pyspark.sql import functions as F
@@ -249,6 +250,30 @@ def test_suffix_array(seed):
         assert shared[t] == k or (k == min(len(a), len(b)) < 100)
 
 
+@pytest.mark.parametrize("ranks", [1 << 21, 1])
+def test_suffixes_are_sorted_no_deeper_than_strings_are_long(monkeypatch, ranks):
+    """Equal ranks are equal strings of 100 bytes, whether keys have three ranks or two."""
+    monkeypatch.setattr(suffix_dedup, "RANKS", ranks, raising=False)
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 123, 4000).astype(np.uint8)
+    data[1000:1110], data[2000:2300], data[3000:3400] = data[:110], data[300:600], 97
+    order, rank, _ = suffix_dedup.suffix_array(data)
+    raw = data.tobytes()
+    first = {}
+    for slot, i in enumerate(order.tolist()):
+        first.setdefault(raw[i:i + 100], slot)
+    assert [raw[i:i + 100] for i in order] == sorted(raw[i:i + 100] for i in range(len(raw)))
+    assert rank.tolist() == [first[raw[i:i + 100]] for i in range(len(raw))]
+
+
+def test_shards_are_worked_off_in_batches_that_stay_in_cache():
+    """Small keys share a batch of about 2^18 bytes; a larger key is not cut for that."""
+    rng = np.random.default_rng(10)
+    made = [(k, False, k, 0, 0, rng.integers(97, 123, n).astype(np.uint8).tobytes()) for k, n in enumerate([100_000] * 8 + [900_000])]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "hot", "id", "h", "lo", "piece"), r, strict=True)) for r in made])
+    assert len(list(suffix_dedup._shard(iter([batch])))) == 3
+
+
 def test_first_occurrences_travel_packed():
     """A split passage's strings are many more than its rows."""
     rng = random.Random(3)

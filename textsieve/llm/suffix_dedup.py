@@ -11,16 +11,16 @@ anchor meet there, and neighbouring anchors of a copied passage share it, so tha
 single pieces. Anchors that occur more than ``HOT`` times are split over subshards by their document.
 
 *Shards.* The pieces of a shard are concatenated in (document, offset) order. Their suffix array is refined
-by Larsson and Sadakane's doubling in numpy (only unsorted groups are sorted again) to a depth of at least
-LENGTH; Kasai's recurrence gives common prefixes, many text lanes at a time. In each run of suffixes
+by Larsson and Sadakane's method in numpy (only unsorted groups are sorted again, by the ranks of two places, or of three
+if they fit into a key) to a depth of LENGTH, so that ranks are equal where LENGTH bytes are; Kasai's recurrence gives common prefixes, many text lanes at a time. In each run of suffixes
 that share LENGTH bytes all but the first in text order are repeats.
 
 *Merging.* Subshards of a split anchor give back the first occurrence of each string in suffix order;
 these sorted runs are merged by binary search, strings being dealt out by their checksum into buckets (a run's strings of
 one bucket travel as one row), and all but the earliest of equal ones are repeats as well.
 
-Memory: a shard task works on pieces of about ``CHUNK`` bytes at a time; a key with more than twice as
-many is worked off in parts, whose first occurrences are merged like those of subshards. Very common anchors are found in a sample of the documents and counted by
+Memory: a shard task works on pieces of about ``BATCH`` bytes at a time; a key with more than twice ``CHUNK`` bytes
+is worked off in parts, whose first occurrences are merged like those of subshards. Very common anchors are found in a sample of the documents and counted by
 partial sums, so that none of them is gathered in one task; the sample only decides the route, never the result.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that share an id are
@@ -47,7 +47,8 @@ from .common import table, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTH, KGRAM, HOT, CHUNK, VIEW = 100, 32, 512, 1 << 20, 1 << 22
+LENGTH, KGRAM, HOT, CHUNK = 100, 32, 512, 1 << 20
+VIEW, BATCH, RANKS = 1 << 16, 1 << 18, 1 << 21  # arrays of a view or a batch stay in a core's cache; smaller ranks than RANKS fit into a key three at a time
 GRAMS = LENGTH - KGRAM + 1
 SAMPLE, COMMON, HOT_LIST, BUCKETS = 64, 48, 100_000, 1024
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -194,37 +195,39 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes in the order of their first depth bytes at least (Larsson and Sadakane), each suffix's rank (one for suffixes that are equal so far), and the 8-byte words at each position."""
+    """The suffixes in the order of their first depth bytes (8 at least; Larsson and Sadakane), each suffix's rank (one for suffixes that are equal so far), and the 8-byte words at each position."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.zeros(n, np.uint64)
     for j in range(8):
         words = words << np.uint64(8) | padded[j:n + j]
     order = np.argsort(words)
-    rank = np.empty(n, np.int64)
+    rank = np.zeros(n + 2 * depth, np.int64)  # plus one; 0 beyond the end
+    three = n < RANKS
+    bits = 21 if three else 31
 
     def groups(keys: np.ndarray, slots: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
         """Gives each suffix its group's first slot as rank; the indexes that still share a group."""
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        begin = np.flatnonzero(new)
-        sizes = np.diff(np.append(begin, len(keys)))
-        rank[suffixes] = np.repeat(slots[begin], sizes)
-        return np.flatnonzero(np.repeat(sizes > 1, sizes))
+        new = np.ones(len(keys) + 1, bool)
+        new[1:-1] = keys[1:] != keys[:-1]
+        rank[suffixes] = (slots[new[:-1]] + 1)[np.cumsum(new[:-1]) - 1]
+        return np.flatnonzero(~(new[:-1] & new[1:]))
 
     slots = np.arange(n)
     slots = slots[groups(words[order], slots, order)]
     h = 8
     while h < depth and len(slots):
         suffixes = order[slots]
-        beyond = suffixes + h
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        keys = rank[suffixes] * (n + 2) + second
+        keys = rank[suffixes] << bits | rank[suffixes + min(h, depth - h)]
+        if three and 2 * h < depth:
+            keys = keys << bits | rank[suffixes + min(2 * h, depth - h)]
+            h *= 3
+        else:
+            h *= 2
         by = np.argsort(keys)
         order[slots] = suffixes[by]
         slots = slots[groups(keys[by], slots, suffixes[by])]
-        h *= 2
-    return order, rank, words
+    return order, rank[:n] - 1, words
 
 
 def common_prefixes(order: np.ndarray, rank: np.ndarray, words: np.ndarray, cap: int = LENGTH, lanes: int = 4096) -> np.ndarray:
@@ -238,27 +241,31 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, words: np.ndarray, cap:
     tied = np.zeros(n, bool)
     tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
     text = np.concatenate([words, np.zeros(cap + 16, np.uint64)])
-    limits = np.array([1 << 8 * (7 - i) for i in range(7)] + [0], dtype=np.uint64)  # leading equal bytes of a xor
-    shared = np.zeros(n, np.int64)
+    limits = np.array([1 << 8 * i for i in range(1, 8)], dtype=np.uint64)  # leading equal bytes of a xor
     length = max(1, -(-n // lanes))
-    at = np.arange(0, n, length)
-    have = np.zeros(len(at), np.int64)
-    for _ in range(length):
-        other = before[at]
-        have = np.where(tied[at], cap, np.where((have >= cap) | (other < 0), 0, np.maximum(have - 1, 0)))
-        live = np.flatnonzero((other >= 0) & (have < cap))
+    count = -(-n // length)
+
+    def steps(x: np.ndarray, fill: int) -> np.ndarray:
+        """A row for each step, of all lanes."""
+        return np.ascontiguousarray(np.append(x, np.full(count * length - n, fill, x.dtype)).reshape(count, length).T)
+
+    others, ties = steps(before, -1), steps(tied, 0)
+    shared = np.zeros((length, count), np.int64)
+    begin = np.arange(0, count * length, length)
+    have = np.zeros(count, np.int64)
+    for step in range(length):
+        other, tie = others[step], ties[step]
+        have = np.where(tie, cap, np.where((have >= cap) | (other < 0), 0, np.maximum(have - 1, 0)))
+        live = np.flatnonzero((other >= 0) & ~tie)
+        at, by, k = begin[live] + step, other[live], have[live]
         while len(live):
-            x = text[at[live] + have[live]] ^ text[other[live] + have[live]]
-            same = 7 - np.searchsorted(limits[6::-1], x, side="right")
-            same[x == 0] = 8
-            have[live] += same
-            live = live[(same == 8) & (have[live] < cap)]
-        shared[at] = np.minimum(have, cap)
-        at = at + 1
-        keep = at < n
-        if not keep.all():
-            at, have = at[keep], have[keep]
-    return shared[order]
+            x = text[at + k] ^ text[by + k]
+            k = k + np.where(x == 0, 8, 7 - np.searchsorted(limits, x, side="right"))
+            have[live] = k
+            on = (x == 0) & (k < cap)
+            live, at, by, k = live[on], at[on], by[on], k[on]
+        shared[step] = np.minimum(have, cap)
+    return shared.T.ravel()[:n][order]
 
 
 def repeats(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +335,7 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if r[0] != last:
-                if size >= CHUNK:
+                if size >= min(BATCH, CHUNK):
                     yield _chunk(rows)
                     rows, size = [], 0
                 last, own, parts = r[0], 0, 0
