@@ -170,6 +170,39 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup(wide(spark, odd_rows())).count() == len(odd_rows())
 
 
+def test_near_dedup_writes_no_file_for_each_partition(spark, monkeypatch):
+    """With 40 partitions that Spark does not join, keys, pairs and labels have as many files as there are cores; the sets, which are wide, have more."""
+    made = []
+
+    def counting(cut):
+        def counted(df, tag="stage", *files):
+            out = cut(df, tag, *files)
+            made.append((tag, len(out.inputFiles())))
+            return out
+
+        return counted
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "cut", counting(module.cut))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        words = [str(rng.random()) for _ in range(60)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[:59])), (3 * i + 2, " ".join(words[1:]))]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOC)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 3 * 3 for i, _ in rows}
+    assert {t for t, _ in made} >= {"first", "buckets", "tested", "links", "labels"}
+    assert max(n for t, n in made if t != "sets") <= spark.sparkContext.defaultParallelism
+
+
 # ---- suffix arrays -------------------------------------------------------------------------------
 
 def brute_repeats(rows):

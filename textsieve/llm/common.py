@@ -28,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start from the files, which outlive executors."""
+def cut(df: DataFrame, tag: str = "stage", files: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later plans start from the files, which outlive executors.
+
+    files: write no more than these (but as many as there are cores), each by a task that takes several partitions one after the
+    other. Small files cost more than their rows do: on a local folder without Hadoop's native library a file and its checksum are
+    three processes that the executor forks, one for each mode that is set."""
     path = f"{shared_dir(df.sparkSession)}/textsieve/{tag}-{uuid.uuid4().hex}"
+    if files is not None:
+        df = df.coalesce(max(files, df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -41,7 +41,7 @@ from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS, HOT = 5, 0.8, 25, 5, 64, 256, 1 << 20, 1000
+WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS, HOT, FILE = 5, 0.8, 25, 5, 64, 256, 1 << 20, 1000, 1 << 14  # FILE: documents in a file of their keys and pairs
 REGISTERS = BANDS * ROWS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -190,12 +190,12 @@ def _prefixes(counts):
     return run
 
 
-def _rare_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
+def _rare_pairs(large: DataFrame, sets: DataFrame, files: int) -> DataFrame:
     """(a, b): all pairs of large's (id, label) of different labels that can be similar enough, by prefix, length and position; more than those, but not all pairs.
 
     Members of a label with the shingle at the same place are joined in blocks, so that those of the same label are not paired with each other."""
     kind = dict(large.dtypes)["id"]
-    rows = cut(large.join(sets, "id").select("id", "label", "s"), "large")
+    rows = cut(large.join(sets, "id").select("id", "label", "s"), "large", files)
     sums = rows.select("s").mapInArrow(_slot_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int32)
     counts[sums.column("slot").to_numpy()] = np.minimum(sums.column("n").to_numpy(), 2**31 - 1)
@@ -227,30 +227,31 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     signed = cut(
         words.select("id", F.xxhash64("k").alias("c1"), F.xxhash64(F.lit(3), "k").alias("c2"), "k")
         .mapInArrow(_signatures, f"id {dict(docs.dtypes)[key]}, c1 bigint, c2 bigint, bands array<bigint>"), "signatures")
+    files = -(-signed.count() // FILE)
     # written, so that the join with the representatives is dealt by id as well and a group of copies is not one task
-    first = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
+    first = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "first", files)
     reps = signed.join(first, (signed["id"] == first["rep"]) & (signed["c1"] == first["c1"]) & (signed["c2"] == first["c2"]), "left_semi").dropDuplicates(["c1", "c2"])
     members = reps.select(F.explode("bands").alias("bucket"), "id")
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(members.join(several, "bucket"), "buckets")  # only of buckets with several members
+    members = cut(members.join(several, "bucket"), "buckets", files)  # only of buckets with several members
     central = members.join(members.groupBy("id").agg(F.sum("n").alias("_weight")), "id")
     hubs = central.groupBy("bucket").agg(F.max(F.struct("_weight", "id")).alias("_hub")).select("bucket", F.col("_hub.id").alias("hub"))
-    star = cut(members.join(hubs, "bucket").where("id <> hub").select(*_ordered("id", "hub")).distinct(), "pairs")
+    star = members.join(hubs, "bucket").where("id <> hub").select(*_ordered("id", "hub")).distinct()
     wanted = members.select("id").distinct()
     texts = words.select("id", "text").join(wanted, "id", "left_semi")
     sets = cut(texts.dropDuplicates(["id"]).select("id", word_hashes(F.col("text")).alias("k")).mapInArrow(_sets, f"id {dict(docs.dtypes)[key]}, s array<int>"), "sets")
-    tested = cut(_verified(star, sets), "tested")
+    tested = cut(_verified(star, sets), "tested", files)
     labels = components(tested.where("ok"))
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = cut(placed.join(mixed, "bucket"), "open")
+    open_ = cut(placed.join(mixed, "bucket"), "open", files)
     x, y = open_.where(f"n <= {SMALL}").select("bucket", "id", "label"), open_.where(f"n <= {SMALL}").select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
     small = x.join(y, "bucket").where("id < id2 and label <> label2").select(*_ordered("id", "id2"))
     large = open_.where(f"n > {SMALL}").select("id", "label").distinct()
-    wide = small if large.isEmpty() else small.union(_rare_pairs(large, sets))
-    pairs = cut(wide.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    wide = small if large.isEmpty() else small.union(_rare_pairs(large, sets, files))
+    pairs = cut(wide.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs", files)
     if not pairs.isEmpty():
-        tested = cut(tested.unionByName(_verified(pairs, sets)), "tested")
+        tested = cut(tested.unionByName(_verified(pairs, sets)), "tested", files)
         labels = components(tested.where("ok"))
     named = first.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "rep", "copies", F.coalesce("label", "rep").alias("class_id"))
     drop_cut(sets)
