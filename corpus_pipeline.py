@@ -2,7 +2,10 @@
 
 Defined results of every stage: null and empty texts are documents without words; rows with a null id stay unless the
 classifier rejects them; a document that repeats (same id and text) stays once; an empty table gives no rows; extra
-columns come through as they are, whatever their names."""
+columns come through as they are, whatever their names.
+
+What a stage writes has no file for each partition that Spark happens to deal, but one for each FILE documents that the stage is
+given, or for each core where these are more."""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsieve.llm import decontaminate, line_dedup, near_dedup, quality, sentencepieces
-from textsieve.llm.common import cut, table
+from textsieve.llm.common import FILE, cut, few, table
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -29,30 +32,36 @@ def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
+def _files(docs: DataFrame) -> int:
+    return -(-docs.count() // FILE)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+    return few(quality.accepted(docs, table(spark, sf_dir, "labels")), _files(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the smallest id."""
-    return _unpacked(near_dedup.keep_first(_packed(docs)), docs)
+    return few(_unpacked(near_dedup.keep_first(_packed(docs)), docs), _files(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; documents of which nothing is left go with them."""
-    made = line_dedup.dedup(_packed(docs), min_run=line_dedup.MIN_RUN)
-    return _as_documents(_unpacked(made.where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")), docs), docs)
+    files = _files(docs)
+    made = line_dedup.dedup(_packed(docs), min_run=line_dedup.MIN_RUN, files=files)
+    return few(_as_documents(_unpacked(made.where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")), docs), docs), files)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
-    return _unpacked(decontaminate.clean(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
+    files = _files(docs)
+    return few(_unpacked(decontaminate.clean(_packed(docs), table(spark, sf_dir, "benchmark"), files=files), docs), files)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids."""
-    return sentencepieces.encode(docs)
+    return few(sentencepieces.encode(docs), _files(docs))
 
 
 STAGES = [

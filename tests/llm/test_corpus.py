@@ -13,7 +13,7 @@ import pytest
 from compare import assert_same, connection
 from pyspark.sql import functions as F
 
-from textsieve.llm import catalog, components, decontaminate, line_dedup, near_dedup, quality, sentencepieces, sharding, spotsigs, suffix_dedup, url_filter, warc
+from textsieve.llm import catalog, common, components, decontaminate, line_dedup, near_dedup, quality, sentencepieces, sharding, spotsigs, suffix_dedup, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string"
@@ -694,6 +694,41 @@ def test_quality_stage_computes_features_once(spark):
     assert 0 < count(corpus_pipeline.quality_stage(spark, docs, SF)) <= count(quality.op4_quality(spark, SF))
 
 
+def test_pipeline_writes_no_file_for_each_partition(spark, monkeypatch, tmp_path):
+    """With 40 partitions that Spark does not join, what a stage writes and returns has as many files as there are cores, and the same rows."""
+    import corpus_pipeline
+
+    made, cores = [], spark.sparkContext.defaultParallelism
+
+    def counted(df, tag="stage", *files):
+        out = common.cut(df, tag, *files)
+        made.append((tag, len(out.inputFiles())))
+        return out
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10**9 + i, f"of their own {i}") for i in range(200)], DOC), allowMissingColumns=True)
+    docs.repartition(40).write.parquet(f"{tmp_path}/docs")
+    want = {name: sorted(map(str, stage(spark, docs, SF).collect())) for name, stage in corpus_pipeline.STAGES}
+    for module in (near_dedup, components, line_dedup, decontaminate):
+        monkeypatch.setattr(module, "cut", counted)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        assert docs.rdd.getNumPartitions() > cores
+        for name, stage in corpus_pipeline.STAGES:
+            result = stage(spark, docs, SF)
+            out = common.cut(result, name)
+            made.append((name, len(out.inputFiles())))
+            assert sorted(map(str, out.collect())) == want[name], name
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {t for t, _ in made} >= {"signatures", "sets", "digests", "matches"}
+    assert {t: n for t, n in made if n > cores} == {}
+
+
 def test_pipeline_stages_odd_rows(spark):
     """Nulls, empty tables, repeated rows, and columns that have the operators' names."""
     import corpus_pipeline

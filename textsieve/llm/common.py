@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+FILE = 1 << 13  # documents in a file of their texts or of what is made of them
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,16 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str = "stage", files: int | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start from the files, which outlive executors.
+def few(df: DataFrame, files: int | None) -> DataFrame:
+    """df in no more partitions than these (but as many as there are cores; None: as it is), each of several one after the other.
 
-    files: write no more than these (but as many as there are cores), each by a task that takes several partitions one after the
-    other. Small files cost more than their rows do: on a local folder without Hadoop's native library a file and its checksum are
-    three processes that the executor forks, one for each mode that is set."""
+    Small files cost more than their rows do: on a local folder without Hadoop's native library a file and its checksum are
+    three processes that the executor forks, one for each mode that is set. Until it runs its own program, such a child has all of the
+    executor's memory as its own, and is counted so by whoever looks."""
+    return df if files is None else df.coalesce(max(files, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def cut(df: DataFrame, tag: str = "stage", files: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later plans start from the files, which outlive executors. files: as in few()."""
     path = f"{shared_dir(df.sparkSession)}/textsieve/{tag}-{uuid.uuid4().hex}"
-    if files is not None:
-        df = df.coalesce(max(files, df.sparkSession.sparkContext.defaultParallelism))
-    df.write.parquet(path)
+    few(df, files).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

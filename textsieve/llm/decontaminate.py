@@ -119,8 +119,10 @@ def with_starts(docs: DataFrame, keys: dict[str, list[int]] | None, window: int)
     return rows.withColumn("_at", near).where(F.size("_at") > 0).withColumn("_s", starts).drop("_w", "_at")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, cover: float = COVER) -> DataFrame:
-    """(key, item_id, n_windows, n_matched, n_slots, consistency) of the documents that hold an item, the last two of the occurrence that agrees best."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, cover: float = COVER, files: int | None = None) -> DataFrame:
+    """(key, item_id, n_windows, n_matched, n_slots, consistency) of the documents that hold an item, the last two of the occurrence that agrees best.
+
+    files: the matches are written in no more than these, as in cut()."""
     items = with_template(benchmark.select("item_id", text_or_empty().alias("_t")), F.col("_t")).drop("_t").where(F.size("_k") > 0)
     items = items.withColumn("_len", F.least(F.size("_k"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("_len").distinct().collect()) or [window]
@@ -138,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", win
     found = cut(  # the matches, which the sums below read
         mine.select("_id", F.explode(windows(lengths)).alias("g"), "_v")
         .select("_id", F.col("g.w").alias("_w"), F.col("g.at").alias("_dat"), F.expr("slice(_v, g.at, g.len)").alias("_dv"))
-        .join(small(grams), "_w"), "matches")
+        .join(small(grams), "_w"), "matches", files)
     once = found.groupBy("_id", "item_id", "_size", "_places", "_iw", "_iat", "_iv", "_io", "_dat", "_dv").agg(F.max("_exact").alias("_exact"), F.max("_first").alias("_first"))
     far = F.col("_dat") - F.col("_iat")
     groups = [(0, F.lit(0)), (1, far), (2, F.floor(far / F.col("_size"))), (3, F.floor((far + F.col("_size") / 2) / F.col("_size"))), (4, F.when(F.col("_first"), F.lit(0)))]
@@ -168,8 +170,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", files: int | None = None) -> DataFrame:
     """docs without the contaminated ones."""
     own = F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.concat(F.lit("t"), F.xxhash64(text_or_empty()).cast("string")))
-    bad = contaminated(docs.select(own.alias("_own"), "text"), benchmark, "_own").select(F.col("_own").alias("_bad")).distinct()
+    bad = contaminated(docs.select(own.alias("_own"), "text"), benchmark, "_own", files=files).select(F.col("_own").alias("_bad")).distinct()
     return docs.join(bad, own == F.col("_bad"), "left_anti")

@@ -85,10 +85,10 @@ def _digest_rows(min_words: int):
     return run
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, files: int | None = None) -> DataFrame:
     """docs (id, text) -> (id, again): the digests that a smaller id has; none for documents that only repeat themselves."""
     kind = dict(docs.dtypes)["id"]
-    rows = cut(docs.mapInArrow(_digest_rows(min_words), f"id {kind}, a bigint, twice boolean"), "digests")
+    rows = cut(docs.mapInArrow(_digest_rows(min_words), f"id {kind}, a bigint, twice boolean"), "digests", files)
     first = rows.groupBy("a").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "first")
     again = rows.select("id", "a").join(first, "a").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "a")
     own = rows.where("twice").select("id", F.lit(None).cast("bigint").alias("a"))
@@ -136,9 +136,11 @@ def _cleaned(min_words: int, min_run: int):
     return run
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", min_run: int = 0) -> DataFrame:
-    """docs with text cleaned, and n_units, n_removed and removed: the spans taken out as ``start-end;...`` (columns of these names are replaced)."""
-    again = repeated(docs.select(F.col(key).alias("id"), text_or_empty().alias("text")), min_words).select(F.col("id").alias("_rid"), F.col("again").alias("_again"))
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", min_run: int = 0, files: int | None = None) -> DataFrame:
+    """docs with text cleaned, and n_units, n_removed and removed: the spans taken out as ``start-end;...`` (columns of these names are replaced).
+
+    files: the digests are written in no more than these, as in cut()."""
+    again = repeated(docs.select(F.col(key).alias("id"), text_or_empty().alias("text")), min_words, files).select(F.col("id").alias("_rid"), F.col("again").alias("_again"))
     others = [c for c in docs.columns if c not in ("text", "n_units", "n_removed", "removed")]
     ready = docs.join(again, F.col(key).eqNullSafe(F.col("_rid")), "left").select(*others, F.col("text").alias("_text"), "_again")
     kinds = ", ".join(f"`{n}` {t}" for n, t in ready.dtypes[:-2])

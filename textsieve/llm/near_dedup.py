@@ -36,12 +36,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, slices, table, text_or_empty
+from .common import FILE, cut, drop_cut, slices, table, text_or_empty
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS, HOT, FILE = 5, 0.8, 25, 5, 64, 256, 1 << 20, 1000, 1 << 14  # FILE: documents in a file of their keys and pairs
+WORDS, SIMILAR, BANDS, ROWS, SMALL, BLOCK, SLOTS, HOT = 5, 0.8, 25, 5, 64, 256, 1 << 20, 1000
+KEYS_FILE, SETS_FILE = 1 << 15, 1 << 12  # documents in a file of their keys and pairs (narrow), and of their sets (wide)
 REGISTERS = BANDS * ROWS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -203,7 +204,7 @@ def _rare_pairs(large: DataFrame, sets: DataFrame, files: int) -> DataFrame:
     prefix = rows.mapInArrow(_prefixes(shared), f"id {kind}, label {kind}, n bigint, s bigint, at bigint, df int")
     blocks = prefix.groupBy("s", "label", "n", "at", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK)).alias("block")).agg(F.collect_list("id").alias("m"))
     several = blocks.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
-    blocks = cut(blocks.join(several, "s"), "blocks")
+    blocks = cut(blocks.join(several, "s"), "blocks", files)
     other = blocks.select("s", F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("m").alias("m2"))
     close = (F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2") - 1e-9) & (
         (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (1 + SIMILAR) >= SIMILAR * (F.col("n") + F.col("n2")) - 1e-6)
@@ -223,11 +224,12 @@ def _named(rows: DataFrame, named: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, class_id, copy_of): class_id is the smallest id of the document's class, copy_of that of the documents with the same words."""
+    n = docs.count()
+    files = -(-n // KEYS_FILE)
     words = docs.select(F.col(key).alias("id"), text_or_empty().alias("text")).where(F.col("id").isNotNull()).withColumn("k", word_hashes(F.col("text")))
     signed = cut(
         words.select("id", F.xxhash64("k").alias("c1"), F.xxhash64(F.lit(3), "k").alias("c2"), "k")
-        .mapInArrow(_signatures, f"id {dict(docs.dtypes)[key]}, c1 bigint, c2 bigint, bands array<bigint>"), "signatures")
-    files = -(-signed.count() // FILE)
+        .mapInArrow(_signatures, f"id {dict(docs.dtypes)[key]}, c1 bigint, c2 bigint, bands array<bigint>"), "signatures", -(-n // FILE))
     # written, so that the join with the representatives is dealt by id as well and a group of copies is not one task
     first = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "first", files)
     reps = signed.join(first, (signed["id"] == first["rep"]) & (signed["c1"] == first["c1"]) & (signed["c2"] == first["c2"]), "left_semi").dropDuplicates(["c1", "c2"])
@@ -239,7 +241,7 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     star = members.join(hubs, "bucket").where("id <> hub").select(*_ordered("id", "hub")).distinct()
     wanted = members.select("id").distinct()
     texts = words.select("id", "text").join(wanted, "id", "left_semi")
-    sets = cut(texts.dropDuplicates(["id"]).select("id", word_hashes(F.col("text")).alias("k")).mapInArrow(_sets, f"id {dict(docs.dtypes)[key]}, s array<int>"), "sets")
+    sets = cut(texts.dropDuplicates(["id"]).select("id", word_hashes(F.col("text")).alias("k")).mapInArrow(_sets, f"id {dict(docs.dtypes)[key]}, s array<int>"), "sets", -(-n // SETS_FILE))
     tested = cut(_verified(star, sets), "tested", files)
     labels = components(tested.where("ok"))
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
