@@ -480,6 +480,50 @@ def test_chunks_are_cut_where_no_piece_goes_on():
     assert not known & set(seen) and "▁thineverung%%%" not in seen  # the word is not searched again for what follows it
 
 
+def test_search_remembers_its_states(monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    rng = random.Random(4)
+    words = ["".join(rng.choice(("tion", "the", "über", "ing", "é", "x", "日", "12", ").", "_")) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    m, asked = sentencepieces.load(), []
+
+    class Pairs(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+    m.pair = Pairs()
+    m.short("▁" + "internationalisation" * 20)
+    asked.clear()
+    assert m.short("▁" + "internationalisation" * 40) == lib.encode("internationalisation" * 40) and not asked  # every place is known
+    assert m.chunks(" thineverung.\nLyret  (x") == [" thineverung", ".", "\n", "Lyret", "  (", "x"]
+    for most in (1 << 18, 20):  # all are remembered, or are forgotten again and again
+        monkeypatch.setattr(sentencepieces, "CACHE", most)
+        m = sentencepieces.load()
+        for w in words:
+            assert np.frombuffer(m.encode(f"{w}  {w}"), "<i4").tolist() == lib.encode(f"{w}  {w}")
+        m.short("".join(rng.choices("eaintros", k=5000)))
+        assert len(m.steps) <= most and sum(map(len, m.steps.values())) <= 4 * most and len(m.cache) <= most
+
+
+def test_search_of_any_merges():
+    """Small models whose merges are made one after the other: what the search finds is what the merges make."""
+    rng = random.Random(6)
+    for _ in range(40):
+        pieces = [*"ab.", "▁"]
+        for _ in range(30):
+            new = rng.choice(pieces) + rng.choice(pieces)
+            if len(new) <= 6 and new not in pieces and "▁" not in new.lstrip("▁"):
+                pieces.append(new)
+        m = sentencepieces.Pieces([("<unk>", 0, 2), *[(p, -float(i), 1) for i, p in enumerate(pieces)]], "bpe")
+        for _ in range(20):
+            text = "".join(rng.choice("ab. d") for _ in range(rng.randint(1, 50)))
+            made = m.merges("▁" + text.replace(" ", "▁"))
+            assert list(m.stream("▁" + text.replace(" ", "▁"))) == made
+            assert np.frombuffer(m.encode(text), "<i4").tolist() == [m.id.get(p, 0) for p in made]
+
+
 def test_unigram_search():
     m = sentencepieces.Pieces([("<unk>", 0, 2), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -1.0, 1), ("ba", -0.5, 1), ("aba", -4.0, 1)], "unigram")
     for text in ("abab", "ababa", "bb", "aab" * 30):

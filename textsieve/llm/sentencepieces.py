@@ -5,19 +5,21 @@ over a chunk's positions from left to right, has the pieces that end there from
 backpointer a position: the last piece of the best segmentation that ends there. Only positions within the
 longest piece can still be left, so only they are kept; whenever the paths that survive in this window
 meet in one boundary, the ids before it are committed and forgotten. Memory is bounded by the longest piece, not by
-the text. All chunks, short and long ones, go through this one search (``codes``).
+the text. All chunks go through this one search (``codes``); those within the window need no commit.
 
 The shipped model is of the BPE kind, whose best segmentation is the one that its merges make, not the
 one with the largest sum of scores. A segmentation is what the merges make exactly if every two
 neighbours are what the merges make of their concatenation, so that is the transition's admissibility:
 the piece that ends at a position is the one (there is only one) that is admissible after the last
-piece of the prefix before it. For unigram models (``kind="unigram"``) the transition is the usual
-largest sum of scores.
+piece of the prefix before it. What follows at a position depends only on the automaton's node and on the last pieces at the
+places in which a piece that is not at its end can begin. Such states are remembered (at most CACHE of them), each with the states
+that follow it by character (at most four times as many in all), so that a place in a known surrounding is one look-up. For unigram models (``kind="unigram"``) the
+transition is the usual largest sum of scores.
 
 Text is prepared as the model says (identity normalisation): a blank in front, blanks written as
 U+2581. No piece has a blank after another character, so a run of blanks with the characters up to the
-next blank is a chunk of its own. Chunks are cut further where no piece holds the two neighbours; ids of short chunks and of
-their parts are remembered (at most CACHE of them). A
+next blank is a chunk of its own. Characters fall into classes that no piece mixes (letters, marks and so on, as the model's
+pieces have them); chunks are cut further where the class changes. Ids of short chunks are remembered (at most CACHE of them). A
 character without a piece becomes its UTF-8 bytes' pieces.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is decoded as a blank, as the model
@@ -49,6 +51,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODEL = os.environ.get("TEXTSIEVE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK, CACHE, CACHED_CHARS = "▁", 1 << 18, 40
+LARGE = 16  # characters of a class that has chunks of its own
 START, OTHER = -2, 1 << 20  # codes: before the text, character without a piece
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -95,18 +98,49 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], str]:
     return pieces, kind
 
 
+class Step(dict):
+    """A state of the search: the piece that ends now on the best path, and the key: the automaton's node and the last pieces at the
+    places in which a piece can begin that goes on. Holds the states that follow, by the next character."""
+
+    __slots__ = ("code", "follow", "key", "size")
+
+    def __init__(self, code: int, size: int, key: tuple[int, ...] = (), follow=None):
+        self.code, self.size, self.key, self.follow = code, size, key, follow
+
+    def __missing__(self, c: str) -> Step:
+        to = self[c] = self.follow(self, c)
+        return to
+
+
+class Known(dict):
+    """The ids of chunks as 32-bit numbers; those of usual length are remembered."""
+
+    __slots__ = ("make",)
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.make(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class Window:
-    """What the search keeps: for each place from the last committed boundary on the code of the piece that ends there on the best
-    path, where that piece begins, and the path's score; and the trie's node of the longest piece or piece's head that ends now."""
+    """What the search keeps: for each place from the last committed boundary on the piece that ends there on the best
+    path (its state, which for BPE is all that the search goes on from), and for unigram models the path's score and the trie's node
+    of the longest piece or piece's head that ends now."""
 
-    __slots__ = ("last", "node", "start", "total")
+    __slots__ = ("node", "path", "total")
 
-    def __init__(self) -> None:
-        self.last, self.start, self.total, self.node = [START], [0], [0.0], 0
+    def __init__(self, begin: Step) -> None:
+        self.path, self.total, self.node = [begin], [0.0], 0
 
     def forget(self, committed: int) -> None:
-        self.last, self.total = self.last[committed:], self.total[committed:]
-        self.start = [x - committed for x in self.start[committed:]]
+        self.path, self.total = self.path[committed:], self.total[committed:]
 
 
 class Pieces:
@@ -125,15 +159,36 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.width = np.array([len(x) for x in surface], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.width)[:-1]]) if surface else np.zeros(0, np.int64)
-        self.below, self.shorter, self.ending = self.automaton()
-        self.inner = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}  # neighbours that some piece holds
+        self.below, self.shorter, self.ending, self.depth = self.automaton()
+        self.chunks = re.compile(self.classes()).findall
         self.pair: dict[int, bool] = {}  # last piece << 22 | next piece -> whether it is admissible
-        self.cache: dict[str, bytes] = {}
-
-    def automaton(self) -> tuple[list[dict], list[int], list[tuple]]:
+        self.begin_step = Step(START, 0, (0, START), self.step)
+        self.steps: dict[tuple[int, ...], Step] = {}
+        self.followed = 0  # how many states are held as following another
+        self.ends: dict[int, Step] = {}  # for unigram models, by code
+        self.cache = Known(self.chunk)
+
+    def classes(self) -> str:
+        """The expression of chunks (with blanks): blanks, and characters of one class. Two characters are of one class if a piece has
+        them as neighbours, or by way of others; small classes are taken together, and a character of none is a chunk of its own."""
+        of: dict[str, list[str]] = {}
+        for p in self.id:
+            chars = p.lstrip(BLANK)
+            for a, b in itertools.pairwise(chars):
+                x, y = of.setdefault(a, [a]), of.setdefault(b, [b])
+                if x is not y:
+                    x, y = (x, y) if len(x) >= len(y) else (y, x)
+                    x += y
+                    of.update(dict.fromkeys(y, x))
+        own = sorted({id(x): x for x in of.values()}.values(), key=len, reverse=True)
+        sets = [x for x in own if len(x) >= LARGE] + [[c for x in own if len(x) < LARGE for c in x]]
+        kinds = "|".join([*[f"[{re.escape(''.join(sorted(x)))}]+" for x in sets if x], "[^ ]"])
+        return f" +(?:{kinds})?|{kinds}"
+
+    def automaton(self) -> tuple[list[dict], list[int], list[tuple], list[int]]:
         """The pieces' trie for all places at once (Aho and Corasick): of each node the nodes below by character, the node of its
-        longest proper ending, and the (length, id) of all pieces that end there, the longest first."""
-        below, shorter, ending = [{}], [0], [()]
+        longest proper ending, the (length, id) of all pieces that end there, the longest first, and its depth."""
+        below, shorter, ending, depth = [{}], [0], [()], [0]
         for p, i in self.id.items():
             at = 0
             for c in p:
@@ -142,6 +197,7 @@ class Pieces:
                     below.append({})
                     shorter.append(0)
                     ending.append(())
+                    depth.append(depth[at] + 1)
                 at = below[at][c]
             ending[at] = ((len(p), i),)
         nodes = list(below[0].values())
@@ -153,7 +209,7 @@ class Pieces:
                 shorter[to] = below[up].get(c, 0)
                 ending[to] += ending[shorter[to]]
                 nodes.append(to)
-        return below, shorter, ending
+        return below, shorter, ending, depth
 
     def merges(self, text: str, edge: int = 0) -> list[str]:
         """What the merges make of a short text: the best-scored pair first, the leftmost of equals. With an edge, they end (and
@@ -201,68 +257,101 @@ class Pieces:
 
     def codes(self, blocks: Iterable[str]) -> Iterator[list[int]]:
         """The pieces' codes, in lists, each as soon as it is certain."""
-        window = Window()
+        window = Window(self.begin_step)
         for block in blocks:
             yield self.search(window, block, False)
         yield self.search(window, "", True)
 
+    def after(self, node: int, c: str) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The automaton's node after one more character, and the (length, code) of what ends there."""
+        below, shorter = self.below, self.shorter
+        to = below[node].get(c)
+        while to is None and node:
+            node = shorter[node]
+            to = below[node].get(c)
+        pieces = self.ending[to or 0]
+        if not pieces or pieces[-1][0] > 1:  # no piece of this character alone
+            pieces = (*pieces, (1, OTHER + ord(c)))
+        return to or 0, pieces
+
+    def places(self, node: int) -> list[int]:
+        """How far back the places are in which a piece can begin that goes on after this node."""
+        out = [0]
+        while node:
+            if self.below[node]:
+                out.append(self.depth[node])
+            node = self.shorter[node]
+        return out
+
+    def step(self, at: Step, c: str) -> Step:
+        """The state that follows (BPE)."""
+        node, pieces = self.after(at.key[0], c)
+        last = dict(zip(self.places(at.key[0]), at.key[1:], strict=True))
+        for size, code in pieces:  # only one path to a place is admissible
+            before = last[size - 1]
+            ok = self.pair.get(before << 22 | code)
+            if self.admissible(before, code) if ok is None else ok:
+                break
+        apart = self.depth[node] < 2  # no piece has this character and the one before it: what was before does not matter
+        key = (node, code, *[START if apart else last[k - 1] for k in self.places(node)[1:]])
+        to = self.steps.get(key)
+        if self.followed >= 4 * CACHE or to is None and len(self.steps) >= CACHE:
+            for x in (self.begin_step, *self.steps.values()):
+                x.clear()
+            self.steps.clear()
+            self.followed, to = 0, None
+        if to is None:
+            to = self.steps[key] = Step(code, size, key, at.follow)
+        self.followed += 1
+        return to
+
     def search(self, w: Window, block: str, ended: bool) -> list[int]:
         """Goes on with the next characters; the codes that are certain now (all, if the text has ended)."""
-        pair, below, shorter, ending, longest, bpe, out = self.pair, self.below, self.shorter, self.ending, self.longest, self.kind == "bpe", []
-        last, start, total, node, committed, end = w.last, w.start, w.total, w.node, 0, len(w.last) - 1
-        for c in block:
-            end += 1
-            to = below[node].get(c)
-            while to is None and node:
-                node = shorter[node]
-                to = below[node].get(c)
-            node = to or 0
-            pieces = ending[node]
-            if not pieces or pieces[-1][0] > 1:  # no piece of this character alone
-                pieces = (*pieces, (1, OTHER + ord(c)))
-            if bpe:
-                for size, code in pieces:  # only one path to a place is admissible
-                    before = last[end - size]
-                    ok = pair.get(before << 22 | code)
-                    if self.admissible(before, code) if ok is None else ok:
-                        last.append(code)
-                        start.append(end - size)
-                        break
+        longest, path, total, committed, out = self.longest, w.path, w.total, 0, []
+        for i in range(0, len(block), longest):
+            part = block[i:i + longest]
+            if self.kind == "bpe":
+                path += itertools.accumulate(part, operator.getitem, initial=path.pop())
             else:
-                most = None
-                for size, code in pieces:
-                    s = total[end - size] + (self.score[self.text[code]] if code < OTHER else self.least)
-                    if most is None or s > most:
-                        most, best, begin = s, code, end - size
-                total.append(most)
-                last.append(best)
-                start.append(begin)
+                for c in part:
+                    w.node, pieces = self.after(w.node, c)
+                    most = None
+                    for size, code in pieces:
+                        s = total[-size] + (self.score[self.text[code]] if code < OTHER else self.least)
+                        if most is None or s > most:
+                            most, best, length = s, code, size
+                    total.append(most)
+                    if best not in self.ends:
+                        self.ends[best] = Step(best, length)
+                    path.append(self.ends[best])
+            end = len(path) - 1
             if end - committed >= 3 * longest:
-                common = self._converged(start, committed, end)
-                out += self._back(last, start, common, committed)
+                common = self._converged(path, committed, end)
+                out += self._back(path, common, committed)
                 committed = common
         if ended:
-            return out + self._back(last, start, end, committed)
-        w.node = node
+            return out + self._back(path, len(path) - 1, committed)
         w.forget(committed)
         return out
 
     @staticmethod
-    def _back(last: list[int], start: list[int], at: int, stop: int) -> list[int]:
+    def _back(path: list[Step], at: int, stop: int) -> list[int]:
         out = []
         while at > stop:
-            out.append(last[at])
-            at = start[at]
-        return out[::-1]
+            s = path[at]
+            out.append(s.code)
+            at -= s.size
+        out.reverse()
+        return out
 
-    def _converged(self, start: list[int], committed: int, end: int) -> int:
+    def _converged(self, path: list[Step], committed: int, end: int) -> int:
         """The last boundary that all paths share that can go on: those to the places in which a piece that ends later can begin."""
         paths = []
         for p in range(max(committed, end + 1 - self.longest), end + 1):
             cuts = []
             while p > committed:
                 cuts.append(p)
-                p = start[p]
+                p -= path[p].size
             cuts.append(committed)
             paths.append(cuts[::-1])
         common = committed
@@ -279,46 +368,19 @@ class Pieces:
 
     def short(self, chunk: str) -> list[int]:
         """The ids of a chunk that is in memory."""
-        out = self.search(Window(), chunk, True)
+        if self.kind == "bpe" and len(chunk) < 3 * self.longest:
+            out = self._back(list(itertools.accumulate(chunk, operator.getitem, initial=self.begin_step)), len(chunk), 0)
+        else:
+            out = self.search(Window(self.begin_step), chunk, True)
         if not out or max(out) < OTHER:
             return out
         return [i for c in out for i in self.ids_of(c)]
 
-    def parts(self, chunk: str) -> list[str]:
-        """The chunk, cut between neighbours that no piece holds: every segmentation has a boundary there."""
-        inner, cuts = self.inner, [0]
-        for i, pair in enumerate(map(operator.add, chunk, chunk[1:]), 1):
-            if pair not in inner:
-                cuts.append(i)
-        if len(cuts) == 1:
-            return [chunk]
-        cuts.append(len(chunk))
-        return [chunk[i:j] for i, j in itertools.pairwise(cuts)]
-
     def chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk as 32-bit numbers; those of chunks and parts of usual length are remembered."""
-        parts = self.parts(chunk)
-        if len(parts) > 1:
-            cache, miss = self.cache, self.part
-            got = b"".join([cache.get(p) or miss(p) for p in parts])
-            return self.remember(chunk, got)
-        return self.part(chunk)
-
-    def part(self, part: str) -> bytes:
-        return self.remember(part, array("i", self.short(part)).tobytes())
-
-    def remember(self, chunk: str, got: bytes) -> bytes:
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[chunk] = got
-        return got
+        return array("i", self.short(chunk.replace(" ", BLANK))).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        cache, miss = self.cache, self.chunk
-        return b"".join([cache.get(c) or miss(c) for c in CHUNKS(BLANK + text.replace(" ", BLANK))])
+        return b"".join(map(self.cache.__getitem__, self.chunks(" " + text.replace(BLANK, " ")))) if text else b""
 
     def surfaces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids' pieces, and where each piece's end."""
@@ -331,9 +393,6 @@ class Pieces:
         return out[1:] if out.startswith(" ") else out
 
 
-CHUNKS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-
-
 def kept(name: str, make):
     """One object for each Python worker, whatever number of tasks it runs (this module is shipped with each)."""
     home = sys.modules.setdefault("textsieve_worker", types.ModuleType("textsieve_worker"))
